@@ -1,23 +1,24 @@
 """Near-duplicate detection by b-bit MinHash.
 
 Method.  A document is the set of its distinct word shingles, each a 64-bit
-hash.  Documents with equal sets form a class; one row per class goes on.  The
-112 minima of a class make 28 band keys (4 full minima each) and a packed
-signature that keeps the 4 low bits of each minimum in seven 64-bit words.
-Classes sharing a band key are candidates; their similarity is estimated from
-the packed words by bit counts, corrected for the 1/16 chance that low bits
-agree by accident, and what passes is confirmed on the full shingle sets.
-
-No pair explosion.  In each bucket every member is first paired with the
-smallest only; the confirmed links form components.  Then, in each bucket that
-still holds several components, every member outside the bucket's largest
-component is compared with all members of other components, in blocks of
-bounded size whose pairs are estimated in numpy and leave the block only when
-the estimate allows a link.  So each candidate pair is either inside one
-component, where its link would change nothing, or is compared: no cap.
+hash.  Documents with equal sets form a class; one row per class goes on.  112
+minima of a class make 28 band keys of 4 full minima each; of 1,024 further
+minima a packed signature keeps one bit each, in sixteen 64-bit words.  Classes
+sharing a band key are candidates; their similarity is estimated from the packed
+words by bit counts, corrected for the chance of 1/2 that two bits agree by
+accident, and what passes is confirmed on the full shingle sets.
+
+No pair explosion.  In each bucket every member is first paired with one centre
+only, the member that meets most others over all its buckets; the confirmed
+links form components.  Then, in each bucket that still holds several
+components, every member outside the bucket's largest component is compared with
+all members of other components, in blocks of bounded size whose pairs are
+estimated in numpy and leave the block only when the estimate allows a link.  So
+each candidate pair is either inside one component, where its link would change
+nothing, or is compared: no cap.
 
 At a Jaccard similarity of 0.8 a pair shares no band with probability 4e-7, and
-an estimate five standard deviations low (below 0.6) drops one in 3e6.
+an estimate 4.7 standard deviations low (below 0.712) drops one in 8e5.
 
 Edge cases: null, empty or blank texts have empty sets and link with nothing;
 fewer words than a shingle are one shingle; rows with equal sets (repeated rows
@@ -37,17 +38,19 @@ from pyspark.sql import functions as F
 from tessera.llm.common import SPACE, bound_arrow, hash_runs, list_array, mix, pieces, spans, table, text_buffer, written
 from tessera.llm.components import components
 
-BANDS, ROWS, BITS = 28, 4, 4
-K = BANDS * ROWS
-PER_WORD = 64 // BITS
-WORDS = K // PER_WORD
+BANDS, ROWS = 28, 4
+SIGNED = 1024
+WORDS = SIGNED // 64
 BLOCK = 1024
+#: How far below the limit an estimate may lie: 4.7 standard deviations at 0.8.
+MARGIN = 0.088
 
 _rng = np.random.default_rng(917)
-_A = _rng.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, K, dtype=np.uint64)
+_A = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_A32 = _rng.integers(0, 2**31, SIGNED, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B32 = _rng.integers(0, 2**32, SIGNED, dtype=np.uint32)
 _C = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOW = np.uint64(0x1111111111111111)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -70,34 +73,31 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
-def minima(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The K minima of each non-empty set, from the sets one after another."""
+def minima(values: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The minima of each non-empty set under value * a + b, for each a and b, from
+    the sets one after another."""
     at = np.cumsum(sizes) - sizes
-    out = np.empty((len(sizes), K), np.uint64)
-    for k in range(K):
-        out[:, k] = np.minimum.reduceat(values * _A[k] + _B[k], at)
+    out = np.empty((len(sizes), len(a)), values.dtype)
+    for k in range(len(a)):
+        out[:, k] = np.minimum.reduceat(values * a[k] + b[k], at)
     return out
 
 
-def pack(least: np.ndarray) -> np.ndarray:
-    """The low bits of the minima, PER_WORD of them in each 64-bit word."""
-    low = (mix(least.copy()) & np.uint64(2**BITS - 1)).reshape(-1, WORDS, PER_WORD)
-    return (low << (np.arange(PER_WORD, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
+def signatures(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One bit of each of SIGNED minima, packed in 64-bit words."""
+    least = minima((values >> np.uint64(32)).astype(np.uint32), sizes, _A32, _B32)
+    return np.packbits((least * np.uint32(0x9E3779B1)) >> np.uint32(31), axis=1, bitorder="little").view(np.uint64)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    by = least.reshape(-1, BANDS, ROWS)
+def band_keys(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    by = minima(values, sizes, _A, _B).reshape(-1, BANDS, ROWS)
     return mix((by * _C[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _C[40])
 
 
 def estimate(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Collision-corrected similarity of packed signatures (WORDS last)."""
-    x = p ^ q
-    x |= x >> np.uint64(2)
-    x |= x >> np.uint64(1)
-    differ = np.bitwise_count(x & _LOW).sum(axis=-1, dtype=np.int64)
-    chance = 2.0**-BITS
-    return ((K - differ) / K - chance) / (1 - chance)
+    differ = np.bitwise_count(p ^ q).sum(axis=-1, dtype=np.int64)
+    return 1 - 2 * differ / SIGNED
 
 
 _SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>, bands array<long>"
@@ -118,8 +118,7 @@ def _sign(n: int):
                     at = (np.cumsum(sizes) - sizes)[full]
                     h1[full] = mix(np.add.reduceat(mix(values ^ _C[50]), at))
                     h2[full] = mix(np.add.reduceat(mix(values ^ _C[51]), at))
-                    least = minima(values, sizes[full])
-                    sig, bands = pack(least), band_keys(least)
+                    sig, bands = signatures(values, sizes[full]), band_keys(values, sizes[full])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), list_array(sig.ravel().view(np.int64), full * WORDS, pa.int64()), list_array(bands.ravel().view(np.int64), full * BANDS, pa.int64())],
                     ["doc_id", "n_shingles", "h1", "h2", "sig", "bands"],
@@ -142,35 +141,74 @@ def _sets(n: int):
 
 def _passing(least: float):
     """In a block: the pairs of its rest side and its other side, of different
-    components, whose estimate reaches ``least``."""
+    components, whose estimate reaches ``least``.  A pair that shares several bands
+    leaves the bucket of the first only, and a pair of two rest members one block."""
     a_b = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(block: pa.Table) -> pa.Table:
-        side = block.column("rest").to_numpy().astype(bool)
+        key = block.column("key")[0].as_py()
+        side, main = block.column("rest").to_numpy(), block.column("main").to_numpy()
         node, part = block.column("node").to_numpy(), block.column("part").to_numpy()
-        sig = block.column("sig").combine_chunks().values.to_numpy().view(np.uint64).reshape(-1, WORDS)
+        sig = block.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+        bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         x, y = np.flatnonzero(side), np.flatnonzero(~side)
-        found = []
+        found = [np.zeros((2, 0), np.int64)]
         for i in x:
-            good = y[(part[y] != part[i]) & (estimate(sig[i], sig[y]) >= least)]
+            good = y[(part[y] != part[i]) & (main[y] | (node[y] < node[i]))]
+            good = good[estimate(sig[i], sig[good]) >= least]
+            good = good[bands[i, (bands[good] == bands[i]).argmax(axis=1)] == key >> 32]
             found.append(np.stack([np.maximum(node[i], node[good]), np.minimum(node[i], node[good])]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        pairs = np.concatenate(found, axis=1)
         return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=a_b)
 
     return run
 
 
+BLOOM_BITS = 27
+
+
+def _might_hold(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter (one hash) of a column ``node`` of ids, of 2 ** BLOOM_BITS bits
+    whatever the input: 16 MiB are gathered and broadcast at most."""
+    at = F.pmod(F.xxhash64("node"), F.lit(1 << BLOOM_BITS))
+    words = nodes.groupBy(F.floor(at / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).alias("bits"))
+    filled = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    rows = words.groupBy(F.floor(F.col("w") / 4096).alias("page")).agg(F.collect_list(F.struct((F.col("w") % 4096).cast("int").alias("w"), "bits")).alias("held"))
+    for page, held in rows.toLocalIterator():
+        for w, bits in held:
+            filled[page * 4096 + w] = bits
+    return filled.view(np.uint8)
+
+
+def _sets_of(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(node, shingles) of the texts of ``nodes``.  A filter of fixed size keeps
+    other texts from being shuffled; what it lets through by accident the join drops."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(_might_hold(nodes))
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            keep = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            if len(keep):
+                yield from _sets(n)([batch.select(["node", "text"]).take(pa.array(keep))])
+
+    at = F.pmod(F.xxhash64(F.col("doc_id").alias("node")), F.lit(1 << BLOOM_BITS))
+    sets = docs.select(F.col("doc_id").alias("node"), "text", at.alias("at")).mapInArrow(run, "node long, shingles array<long>")
+    return sets.join(nodes, "node", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b: class nodes) with Jaccard of at least percent / 100
-    on full shingle sets.  Only texts that occur in a pair are read again."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.join(nodes, docs.doc_id == nodes.node, "left_semi").select(F.col("doc_id").alias("node"), "h1", "text")
-    sets = texts.select("node", "text").mapInArrow(_sets(n), "node long, shingles array<long>")
-    # an id that repeats with other texts could name two sets: keep the set of every row, any pair of them may link
+    on full shingle sets.  Only texts that occur in a pair are split again."""
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    # an id that repeats with other texts names several sets: any of them may link
+    sets = written(_sets_of(nodes, docs, n), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b").distinct()
+    return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -182,35 +220,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     signed = written(texts.mapInArrow(_sign(shingle), _SIGNED), "signed")
     classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = written(classes.where("node is not null"), "classes")
-    buckets = written(classes.select("node", F.posexplode("bands").alias("band", "key")).select("key", "node"), "buckets")
-    # first: every member with the smallest of its bucket
-    least = buckets.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    stars = buckets.join(least, "key").where("node > b").select(F.col("node").alias("a"), "b").distinct()
-    floor = max(0.0, percent / 100 - 0.2)
+    every_band = classes.select("node", F.explode("bands").alias("key"))
+    crowded = every_band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = written(every_band.join(crowded, "key"), "buckets")
+    # first: every member with the one that meets most others in all its buckets,
+    # which in a group of edited copies is the text they come from
+    met = buckets.groupBy("node").agg(F.sum("n").alias("met"))
+    centre = buckets.join(met, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("m"))).alias("c")).select("key", (-F.col("c.m")).alias("centre"))
+    stars = buckets.join(centre, "key").where("node <> centre").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+    floor = max(0.0, percent / 100 - MARGIN)
     sig = classes.select("node", "sig")
-    differ = F.lit(0)
-    for i in range(WORDS):
-        x = F.col("p")[i].bitwiseXOR(F.col("q")[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(int(_LOW))))
-    chance = 2.0**-BITS
-    likely = ((K - differ) / F.lit(K) - chance) / (1 - chance) >= floor
-    stars = stars.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("p")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("q")), "b").where(likely).select("a", "b").distinct()
-    source = texts.where("doc_id is not null").withColumn("h1", F.lit(0))
+    stars = stars.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("p")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("q")), "b").where(_likely(floor)).select("a", "b")
+    source = texts.where("doc_id is not null")
     links = written(_confirmed(written(stars, "stars"), source, shingle, percent), "links")
     parts = written(components(links), "parts")
     # then: in buckets of several components, all pairs across components
     member = buckets.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     inside = member.groupBy("key", "part").agg(F.count("*").alias("n"))
-    open_keys = inside.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max_by("part", F.struct("n", "part")).alias("main")).where("parts > 1")
-    found = written(member.join(open_keys.select("key", "size", "main"), "key"), "open")
+    open_keys = inside.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max_by("part", F.struct("n", "part")).alias("most")).where("parts > 1")
+    found = written(member.join(open_keys.select("key", "size", "most"), "key").withColumn("main", F.col("part") == F.col("most")), "open")
     chunks = F.ceil(F.col("size") / BLOCK).cast("int")
     chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
     every = F.sequence(F.lit(0), chunks - 1)
-    rest = found.where("part <> main").select("key", "node", "part", F.lit(True).alias("rest"), chunk.alias("i"), F.explode(every).alias("j"))
-    other = found.select("key", "node", "part", F.lit(False).alias("rest"), F.explode(every).alias("i"), chunk.alias("j"))
-    blocks = rest.unionAll(other).join(sig, "node")
+    rest = found.where("not main").select("key", "node", "part", "main", F.lit(True).alias("rest"), chunk.alias("i"), F.explode(every).alias("j"))
+    other = found.select("key", "node", "part", "main", F.lit(False).alias("rest"), F.explode(every).alias("i"), chunk.alias("j"))
+    half = F.transform("bands", lambda k: F.shiftright(k, 32).cast("int"))
+    blocks = rest.unionAll(other).join(classes.select("node", "sig", half.alias("bands")), "node")
     across = blocks.groupBy("key", "i", "j").applyInArrow(_passing(floor), "a long, b long").distinct()
     more = _confirmed(written(across, "across"), source, shingle, percent)
     parts = components(links.unionAll(more))
@@ -221,6 +256,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def _likely(least: float):
+    """The estimate of packed signatures p and q reaches ``least``, on the JVM."""
+    differ = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(WORDS)), F.lit(0))
+    return 1 - 2 * differ / F.lit(SIGNED) >= least
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows that are near copies of a row with a smaller id; all
     columns stay.  Ids name documents: rows that repeat a kept id all stay."""
