@@ -8,9 +8,9 @@ sharing a band key are candidates; their similarity is estimated from the packed
 words by bit counts, corrected for the chance of 1/2 that two bits agree by
 accident, and what passes is confirmed on the full shingle sets.
 
-No pair explosion.  In each bucket every member is first paired with one centre
-only, the member that meets most others over all its buckets; the confirmed
-links form components.  Then, in each bucket that still holds several
+No pair explosion.  In each bucket every member meets one centre only, the member
+that meets most others over all its buckets; of the centres it meets, a member is
+paired with the most similar one, and the confirmed pairs form components.  Then, in each bucket that still holds several
 components, every member outside the bucket's largest component is compared with
 all members of other components, in blocks of bounded size whose pairs are
 estimated in numpy and leave the block only when the estimate allows a link.  So
@@ -227,10 +227,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     # which in a group of edited copies is the text they come from
     met = buckets.groupBy("node").agg(F.sum("n").alias("met"))
     centre = buckets.join(met, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("m"))).alias("c")).select("key", (-F.col("c.m")).alias("centre"))
-    stars = buckets.join(centre, "key").where("node <> centre").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+    stars = buckets.join(centre, "key").where("node <> centre").select("node", "centre").distinct()
     floor = max(0.0, percent / 100 - MARGIN)
     sig = classes.select("node", "sig")
-    stars = stars.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("p")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("q")), "b").where(_likely(floor)).select("a", "b")
+    stars = stars.join(sig.withColumnRenamed("sig", "p"), "node").join(sig.select(F.col("node").alias("centre"), F.col("sig").alias("q")), "centre")
+    # one pair for each member, with the centre most like it: what it may have in
+    # common with the others is seen in the second step
+    best = stars.withColumn("near", _estimate()).where(F.col("near") >= floor).groupBy("node").agg(F.max_by("centre", F.struct("near", -F.col("centre"))).alias("centre"))
+    stars = best.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
     source = texts.where("doc_id is not null")
     links = written(_confirmed(written(stars, "stars"), source, shingle, percent), "links")
     parts = written(components(links), "parts")
@@ -256,10 +260,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _likely(least: float):
-    """The estimate of packed signatures p and q reaches ``least``, on the JVM."""
+def _estimate():
+    """The estimate of packed signatures p and q, on the JVM."""
     differ = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(WORDS)), F.lit(0))
-    return 1 - 2 * differ / F.lit(SIGNED) >= least
+    return 1 - 2 * differ / F.lit(SIGNED)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
