@@ -13,12 +13,15 @@ that meets most others over all its buckets; of the centres it meets, a member i
 paired with the most similar one, and the confirmed pairs form components.  Then, in each bucket that still holds several
 components, every member outside the bucket's largest component is compared with
 all members of other components, in blocks of bounded size whose pairs are
-estimated in numpy and leave the block only when the estimate allows a link.  So
-each candidate pair is either inside one component, where its link would change
+estimated in numpy and leave the block only when the estimate allows a link.  The
+members of such buckets get a packed signature of 4,096 bits for it, from a second
+reading of their texts: a group may hold a great many pairs just below the limit,
+and the longer signature tells them apart.  So each candidate pair is either inside one component, where its link would change
 nothing, or is compared: no cap.
 
 At a Jaccard similarity of 0.8 a pair shares no band with probability 4e-7, and
-an estimate 4.7 standard deviations low (below 0.712) drops one in 8e5.
+an estimate 4.7 standard deviations low (below 0.712, or 0.756 of the longer
+signature) drops one in 8e5.
 
 Edge cases: null, empty or blank texts have empty sets and link with nothing;
 fewer words than a shingle are one shingle; rows with equal sets (repeated rows
@@ -41,9 +44,10 @@ from tessera.llm.components import components
 BANDS, ROWS = 28, 4
 SIGNED = 1024
 WORDS = SIGNED // 64
+LONG = 4096
 BLOCK = 1024
 #: How far below the limit an estimate may lie: 4.7 standard deviations at 0.8.
-MARGIN = 0.088
+MARGIN, LONG_MARGIN = 0.088, 0.0441
 
 _rng = np.random.default_rng(917)
 _A = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,6 +55,8 @@ _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _A32 = _rng.integers(0, 2**31, SIGNED, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B32 = _rng.integers(0, 2**32, SIGNED, dtype=np.uint32)
 _C = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A32_LONG = _rng.integers(0, 2**31, LONG, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B32_LONG = _rng.integers(0, 2**32, LONG, dtype=np.uint32)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -66,8 +72,8 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
         if j - i >= n:
             out.append(np.unique(total[i : j - n + 1]))
         elif j > i:  # the whole sequence is the one shingle
-            short = (words[i:j] * _C[: j - i]).sum(dtype=np.uint64) + np.uint64(j - i) * _C[32]
-            out.append(mix(np.array([short], np.uint64)))
+            short = (words[i:j] * _C[: j - i]).sum(dtype=np.uint64) + _C[32:33] * np.uint64(j - i)
+            out.append(mix(short))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -83,9 +89,9 @@ def minima(values: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray)
     return out
 
 
-def signatures(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One bit of each of SIGNED minima, packed in 64-bit words."""
-    least = minima((values >> np.uint64(32)).astype(np.uint32), sizes, _A32, _B32)
+def signatures(values: np.ndarray, sizes: np.ndarray, a: np.ndarray = _A32, b: np.ndarray = _B32) -> np.ndarray:
+    """One bit of each of the minima under a and b, packed in 64-bit words."""
+    least = minima((values >> np.uint64(32)).astype(np.uint32), sizes, a, b)
     return np.packbits((least * np.uint32(0x9E3779B1)) >> np.uint32(31), axis=1, bitorder="little").view(np.uint64)
 
 
@@ -95,9 +101,9 @@ def band_keys(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def estimate(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Collision-corrected similarity of packed signatures (WORDS last)."""
+    """Collision-corrected similarity of packed signatures (words last)."""
     differ = np.bitwise_count(p ^ q).sum(axis=-1, dtype=np.int64)
-    return 1 - 2 * differ / SIGNED
+    return 1 - 2 * differ / (64 * p.shape[-1])
 
 
 _SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>, bands array<long>"
@@ -128,13 +134,30 @@ def _sign(n: int):
 
 
 def _sets(n: int):
-    def run(batches):
-        for batch in batches:
-            data, off = text_buffer(batch.column("text"))
-            for i, j in pieces(off):
-                sets = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
-                values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), list_array(values.view(np.int64), np.array([len(s) for s in sets]), pa.int64())], ["node", "shingles"])
+    """(node, shingles) of each text."""
+
+    def run(batch):
+        data, off = text_buffer(batch.column("text"))
+        for i, j in pieces(off):
+            sets = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
+            values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), list_array(values.view(np.int64), np.array([len(s) for s in sets]), pa.int64())], ["node", "shingles"])
+
+    return run
+
+
+def _long_signatures(n: int):
+    """(node, sig) of each text that has shingles."""
+
+    def run(batch):
+        data, off = text_buffer(batch.column("text"))
+        for i, j in pieces(off):
+            sets = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
+            sizes = np.array([len(s) for s in sets])
+            full = np.flatnonzero(sizes)
+            if len(full):
+                sig = signatures(np.concatenate(sets), sizes[full], _A32_LONG, _B32_LONG)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i).take(pa.array(full)), list_array(sig.ravel().view(np.int64), np.full(len(full), LONG // 64), pa.int64())], ["node", "sig"])
 
     return run
 
@@ -149,7 +172,7 @@ def _passing(least: float):
         key = block.column("key")[0].as_py()
         side, main = block.column("rest").to_numpy(), block.column("main").to_numpy()
         node, part = block.column("node").to_numpy(), block.column("part").to_numpy()
-        sig = block.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+        sig = block.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
         bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         x, y = np.flatnonzero(side), np.flatnonzero(~side)
         found = [np.zeros((2, 0), np.int64)]
@@ -180,9 +203,9 @@ def _might_hold(nodes: DataFrame) -> np.ndarray:
     return filled.view(np.uint8)
 
 
-def _sets_of(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """(node, shingles) of the texts of ``nodes``.  A filter of fixed size keeps
-    other texts from being shuffled; what it lets through by accident the join drops."""
+def _of_texts(nodes: DataFrame, docs: DataFrame, kernel, schema: str) -> DataFrame:
+    """What ``kernel`` makes of the texts of ``nodes``.  A filter of fixed size keeps
+    other texts from being worked on; what it lets through by accident the join drops."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_might_hold(nodes))
 
@@ -192,11 +215,11 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
             at = batch.column("at").to_numpy()
             keep = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             if len(keep):
-                yield from _sets(n)([batch.select(["node", "text"]).take(pa.array(keep))])
+                yield from kernel(batch.select(["node", "text"]).take(pa.array(keep)))
 
     at = F.pmod(F.xxhash64(F.col("doc_id").alias("node")), F.lit(1 << BLOOM_BITS))
-    sets = docs.select(F.col("doc_id").alias("node"), "text", at.alias("at")).mapInArrow(run, "node long, shingles array<long>")
-    return sets.join(nodes, "node", "left_semi")
+    made = docs.select(F.col("doc_id").alias("node"), "text", at.alias("at")).mapInArrow(run, schema)
+    return made.join(nodes, "node", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -204,7 +227,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataF
     on full shingle sets.  Only texts that occur in a pair are split again."""
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     # an id that repeats with other texts names several sets: any of them may link
-    sets = written(_sets_of(nodes, docs, n), "sets")
+    sets = written(_of_texts(nodes, docs, _sets(n), "node long, shingles array<long>"), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
@@ -249,8 +272,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rest = found.where("not main").select("key", "node", "part", "main", F.lit(True).alias("rest"), chunk.alias("i"), F.explode(every).alias("j"))
     other = found.select("key", "node", "part", "main", F.lit(False).alias("rest"), F.explode(every).alias("i"), chunk.alias("j"))
     half = F.transform("bands", lambda k: F.shiftright(k, 32).cast("int"))
-    blocks = rest.unionAll(other).join(classes.select("node", "sig", half.alias("bands")), "node")
-    across = blocks.groupBy("key", "i", "j").applyInArrow(_passing(floor), "a long, b long").distinct()
+    open_nodes = written(found.select("node").distinct(), "open-nodes")
+    longer = written(_of_texts(open_nodes, source, _long_signatures(shingle), "node long, sig array<long>"), "longer")
+    blocks = rest.unionAll(other).join(longer.join(classes.select("node", half.alias("bands")), "node"), "node")
+    across = blocks.groupBy("key", "i", "j").applyInArrow(_passing(max(0.0, percent / 100 - LONG_MARGIN)), "a long, b long").distinct()
     more = _confirmed(written(across, "across"), source, shingle, percent)
     parts = components(links.unionAll(more))
     # rows of a class take its component
