@@ -26,8 +26,8 @@ signature) drops one in 8e5.
 Edge cases: null, empty or blank texts have empty sets and link with nothing;
 fewer words than a shingle are one shingle; rows with equal sets (repeated rows
 too) are one class; rows that repeat an id with different sets follow their own
-sets; a null id keeps its row, takes part through its set, and is never the
-smallest of a component that holds another id.  Extra columns pass through
+sets; a null id keeps its row, which takes the component of the rows with an equal
+set that have an id, and stands alone (null, kept) if there are none.  Extra columns pass through
 ``drop_near_duplicates`` and are ignored by ``near_duplicates``.
 """
 

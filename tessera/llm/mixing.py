@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import n_words, table, written
+from tessera.llm.common import fresh, n_words, table, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         .withColumn("open_weight", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .withColumn("level", (F.lit(float(share)) * F.col("all_size") - F.lit(float(most)) * F.col("full_size")) / F.col("open_weight"))
         .withColumn("fits", F.col("level") * F.col("weight") <= F.lit(float(most)) * F.col("source_size"))
-        .withColumn("level", F.min(F.when(F.col("fits"), F.struct(F.col("source_size") / F.col("weight"), F.col("level"))))  .over(whole)["level"])
+        .withColumn("level", F.min(F.when(F.col("fits"), F.struct(F.col("source_size") / F.col("weight"), F.col("level")))).over(whole)["level"])
     )
     cap = F.lit(float(most)) * F.col("source_size")
     return filled.select("source", "source_size", F.least(F.coalesce(F.col("level") * F.col("weight"), cap), cap).alias("target"))
@@ -80,12 +80,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     sized = docs.select("source", n_words(F.col("text")).alias("size"))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = targets(per_source, weights, share, most)
+    of, by, copy = (fresh(docs, n) for n in ("__of", "__by", "__copy"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rates = wanted.select(F.col("source").alias("__of"), rate.alias("__rate"))
-    whole = F.floor("__rate")
-    copies = whole + F.when(uniform(F.col("doc_id"), seed) < F.col("__rate") - whole, 1).otherwise(0)
-    taken = docs.join(rates, docs["source"].eqNullSafe(rates["__of"])).withColumn("__copies", copies.cast("int")).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    rates = wanted.select(F.col("source").alias(of), rate.alias(by))
+    whole = F.floor(by)
+    copies = (whole + F.when(uniform(F.col("doc_id"), seed) < F.col(by) - whole, 1).otherwise(0)).cast("int")
+    taken = docs.join(rates, docs["source"].eqNullSafe(rates[of])).withColumn(copy, copies).where(F.col(copy) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

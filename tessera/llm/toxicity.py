@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NOT_TERM, bound_arrow, hash_runs, pieces, spans, table, text_buffer
+from tessera.llm.common import NOT_TERM, bound_arrow, fresh, hash_runs, pieces, spans, table, text_buffer
 
 BUCKETS = 1 << 17
 PAD = 3 * BUCKETS
@@ -284,7 +284,8 @@ def with_score(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without the texts that score ``least`` or more; all columns kept."""
     model = fit(docs, labels)
-    return with_score(docs, model, "__toxicity").where(F.col("__toxicity") < least).drop("__toxicity")
+    name = fresh(docs, "__toxicity")
+    return with_score(docs, model, name).where(F.col(name) < least).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
