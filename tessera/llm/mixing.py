@@ -64,7 +64,8 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     target, its copies and the words they take."""
     sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    wanted = targets(per_source, weights, share, most).withColumnRenamed("source", "of_source")
+    # written, it has a known size: Spark broadcasts it below the session's threshold
+    wanted = written(targets(per_source, weights, share, most).withColumnRenamed("source", "of_source"), "targets")
     rows = sized.join(wanted, F.col("source").eqNullSafe(F.col("of_source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
@@ -75,14 +76,15 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, all columns kept.
 
-    The rates are joined by source, so texts stay where they were read.
+    The rates are written first, so that their size is known when the join is planned:
+    below the session's threshold for broadcasts, texts stay where they were read.
     """
     sized = docs.select("source", n_words(F.col("text")).alias("size"))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = targets(per_source, weights, share, most)
     of, by, copy = (fresh(docs, n) for n in ("__of", "__by", "__copy"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rates = wanted.select(F.col("source").alias(of), rate.alias(by))
+    rates = written(wanted.select(F.col("source").alias(of), rate.alias(by)), "rates")
     whole = F.floor(by)
     copies = (whole + F.when(uniform(F.col("doc_id"), seed) < F.col(by) - whole, 1).otherwise(0)).cast("int")
     taken = docs.join(rates, docs["source"].eqNullSafe(rates[of])).withColumn(copy, copies).where(F.col(copy) > 0)
