@@ -120,7 +120,6 @@ def test_redaction_and_spans(spark, data_dir):
         assert own.base_sha256 == hashlib.sha256(pii._joined(base).encode()).hexdigest()
         assert set(pii._joined(base).split(",")) <= set(own.spans.split(",")) or not base
     clean = pii.redact(docs).select("text").collect()
-    assert not any(pii.base_spans(re.sub(r"\[(EMAIL|IP|CARD|PHONE)\]", "", "") or "") for _ in clean)
     assert sum(len([s for s in pii.base_spans(r.text or "") if s[0] == 0]) for r in clean) == 0
 
 
