@@ -67,12 +67,6 @@ def _family(kind: T.DataType) -> str:
     return "other"
 
 
-def _nested(kind: T.DataType, depth: int) -> T.DataType:
-    for _ in range(depth):
-        kind = T.ArrayType(kind)
-    return kind
-
-
 def _same_unit(a: T.DataType, b: T.DataType) -> bool:
     return isinstance(a, T.YearMonthIntervalType) == isinstance(b, T.YearMonthIntervalType)
 

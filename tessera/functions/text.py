@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.atomic import INTS, SPANS
+from tessera.functions.atomic import INTS
 from tessera.functions.encode import INT_INF, INT_NEG_INF, INT_NULL
 
 
@@ -31,7 +31,7 @@ def rendered(c: Column, kind: T.DataType) -> Column:
         plain = c.cast("string")
         own = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").when(plain.rlike("[.E]"), plain).otherwise(F.concat(plain, F.lit(".0")))
     elif isinstance(kind, T.YearMonthIntervalType):
-        months = F.expr("1") * (F.extract(F.lit("YEAR"), c) * 12 + F.extract(F.lit("MONTH"), c))
+        months = F.extract(F.lit("YEAR"), c) * 12 + F.extract(F.lit("MONTH"), c)
         own = F.when(months % 12 == 0, F.concat((months / 12).cast("long").cast("string"), F.lit("y"))).otherwise(F.concat(months.cast("string"), F.lit("m")))
     else:
         own = c.cast("string")
@@ -43,10 +43,6 @@ def raw(c: Column, kind: T.DataType) -> Column:
     return c if isinstance(kind, T.StringType) else rendered(c, kind)
 
 
-def spans_supported() -> tuple[type, ...]:
-    return SPANS
-
-
 # ------------------------------------------------------------------------- bits
 
 

@@ -52,14 +52,26 @@ _SCANS: dict[str, tuple[Callable, Callable[[Column, Column], Column]]] = {
 }
 
 
-def running(df: DataFrame, order: Order, value: str, how: str, name: str, parts: int | None = None) -> DataFrame:
-    """df with the running sum, count, min or max of a column over the whole table."""
+def running(df: DataFrame, order: Order, value: str, how: str, name: str, parts: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """df with the running sum, count, min or max of a column over the whole table, or
+    over each group of ``by``.  A group, however large, is cut into range partitions;
+    only groups that are cut have totals to carry, at most two rows a partition."""
     agg, both = _SCANS[how]
     total = F.sum if how == "count" else agg
-    kept, inside = _ranged(df, order, parts)
-    inside = inside.rowsBetween(Window.unboundedPreceding, 0)
-    totals = kept.groupBy("__part").agg(agg(value).alias("__n"))
-    own = kept.withColumn(name, agg(value).over(inside)).join(_prefix(totals, total("__n")), "__part")
+    kept, _ = _ranged(df, [*by, *order], parts)
+    inside = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = kept.groupBy("__part", *by).agg(agg(value).alias("__n"))
+    if by:
+        totals = totals.withColumn("__cut", F.count("*").over(Window.partitionBy(*by))).where("__cut > 1")
+        before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = totals.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(by)], total("__n").over(before).alias("__before"))
+        own = kept.withColumn(name, agg(value).over(inside))
+        same = own["__part"] == carried["__p"]
+        for i, c in enumerate(by):
+            same = same & own[c].eqNullSafe(carried[f"__{i}"])
+        own = own.join(F.broadcast(carried), same, "left").drop("__p", *[f"__{i}" for i in range(len(by))])
+    else:
+        own = kept.withColumn(name, agg(value).over(inside)).join(_prefix(totals, total("__n")), "__part")
     joined = F.when(F.col("__before").isNull(), F.col(name)).when(F.col(name).isNull(), F.col("__before")).otherwise(both(F.col("__before"), F.col(name)))
     return own.withColumn(name, joined).drop("__part", "__before")
 
@@ -92,8 +104,8 @@ class Vec:
         return Vec(df.select(*self.by, "pos", "value"), self.by)
 
     def _window(self):
-        """All rows of a group in order.  Without groups use the two-pass forms."""
-        return (Window.partitionBy(*self.by) if self.by else Window.partitionBy(F.lit(0))).orderBy("pos")
+        """All rows of a group in order.  Without groups the two-pass forms are used."""
+        return Window.partitionBy(*self.by).orderBy("pos")
 
     # --- atoms of it
 
@@ -165,8 +177,9 @@ class Vec:
 
         return self.cells().select(*self.by, cells.fold(F.col("value"), f, seed).alias("value"))
 
-    def unfold(self, how: str, seed: Column | None = None) -> Vec:
-        """The running sum, count, min or max; with a seed it comes first, and takes part."""
+    def unfold(self, how: str, seed: Column | None = None, split: bool = False) -> Vec:
+        """The running sum, count, min or max; with a seed it comes first, and takes part.
+        ``split`` is for groups that one task can't hold."""
         if not self.by:
             rows = self.df if seed is None else self.df.withColumn("pos", F.col("pos") + 1).unionByName(self.df.sparkSession.range(1).select(F.col("id").alias("pos"), seed.alias("value")))
             return self._with(running(rows, ["pos"], "value", how, "__s").withColumn("value", F.col("__s")))
@@ -174,15 +187,18 @@ class Vec:
         if seed is not None:
             heads = rows.select(*self.by).distinct().select(*self.by, F.lit(0).cast("long").alias("pos"), seed.alias("value"))
             rows = rows.withColumn("pos", F.col("pos") + 1).unionByName(heads)
+        if split:
+            return self._with(running(rows, ["pos"], "value", how, "__s", by=self.by).withColumn("value", F.col("__s")))
         w = self._window().rowsBetween(Window.unboundedPreceding, 0)
         return self._with(rows.withColumn("value", _SCANS[how][0]("value").over(w)))
 
-    def mapback(self, f: Callable[[Column, Column], Column], seed: Column | None = None) -> Vec:
-        """f(item, the item before); the first stands, or meets the seed."""
-        if self.by:
+    def mapback(self, f: Callable[[Column, Column], Column], seed: Column | None = None, split: bool = False) -> Vec:
+        """f(item, the item before); the first stands, or meets the seed.  ``split`` is
+        for groups that one task can't hold (their columns must not be null)."""
+        if self.by and not split:
             rows = self.df.withColumn("__before", F.lag("value").over(self._window()))
-        else:  # a join by position has no single task
-            rows = self.df.join(self.df.select((F.col("pos") + 1).alias("pos"), F.col("value").alias("__before")), "pos", "left")
+        else:  # a join by position deals any group over all tasks
+            rows = self.df.join(self.df.select(*self.by, (F.col("pos") + 1).alias("pos"), F.col("value").alias("__before")), [*self.by, "pos"], "left")
         first = F.col("value") if seed is None else f(F.col("value"), seed)
         return self._with(rows.withColumn("value", F.when(F.col("pos") == 0, first).otherwise(f(F.col("value"), F.col("__before")))))
 
@@ -201,8 +217,9 @@ class Vec:
     def distinct(self) -> Vec:
         """Items in the order they first appear; only distinct ones are ranked."""
         first = self.df.groupBy(*self.by, "value").agg(F.min("pos").alias("pos"))
-        w = (Window.partitionBy(*self.by) if self.by else Window.partitionBy(F.lit(0))).orderBy("pos")
-        return self._with(first.withColumn("pos", (F.row_number().over(w) - 1).cast("long")))
+        if not self.by:
+            return self._with(ordinals(first, ["pos"], "__p").withColumn("pos", F.col("__p")))
+        return self._with(first.withColumn("pos", (F.row_number().over(self._window()) - 1).cast("long")))
 
     def encode(self) -> tuple[Vec, Vec]:
         """(dictionary, codes)."""

@@ -317,7 +317,7 @@ class Parser:
             else:
                 e = self._expr()
                 name = None
-                if self.word("as") or (self.is_("name") and not self.word()):
+                if self.word("as") or self.is_("name"):
                     name = self.take("name").text
                 out.append((e, name))
             if not self.is_("comma"):
@@ -341,15 +341,14 @@ class Parser:
                 self.take("close", ")")
             else:
                 source = ("name", self.take("name").text)
-            kind = "inner"
             name = None
             if self.word("as"):
                 name = self.take("name").text
-            out.append((source, name, kind))
+            out.append((source, name))
             if self.is_("comma"):
                 self.take()
                 continue
-            how = [x for x in ("left", "right", "full", "semi", "anti", "cross", "outer", "inner") if False]
+            how: list[str] = []
             while self.is_("name") and self.peek().text.lower() in ("left", "right", "full", "semi", "anti", "cross", "outer", "inner"):
                 how.append(self.take().text.lower())
             if self.word("join"):
@@ -363,8 +362,10 @@ class Parser:
         out = []
         while True:
             e = self._expr()
-            down = self.word("desc") or (self.word("asc") and False)
-            out.append((e, bool(down)))
+            down = self.word("desc")
+            if not down:
+                self.word("asc")
+            out.append((e, down))
             if not self.is_("comma"):
                 return out
             self.take()
