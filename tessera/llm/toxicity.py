@@ -7,18 +7,26 @@ over the terms of the whole text; their largest responses make the logit.
 
 Fitting.  A bounded sample of labelled rows (``fit_rows``, in hash order, texts
 of at most ``fit_words`` terms; both are parameters) is turned to term ids on the
-executors and trained on at the driver.  Rows start from smoothed log-odds of
-their term.  One fifth of the sample is kept for calibration: the language of a
-text is told from its own function words, each language gets the threshold of
-the best F1, and a score is the sigmoid of the logit's distance from it, so
-0.5 is every language's threshold.  Labels, lang, source and doc_id are never
+executors and trained on at the driver, less one fifth.  Rows start from smoothed
+log-odds of their term.
+
+Calibration.  All labelled rows that are neither held out nor learnt from, long
+texts too, are scored on the executors and counted in a histogram of fixed size,
+by language and logit.  The language of a text is told from its own function
+words, each language gets the threshold of the best F1 over its rows, and a score
+is the sigmoid of the logit's distance from it, so 0.5 is every language's
+threshold.  A language with fewer than 40 such rows or 10 toxic ones gets the
+common threshold of all rows; if there are fewer than 10 toxic ones in all, rows
+learnt from are counted as well.  Labels, lang, source and doc_id are never
 inputs of a score.
 
-Scoring is one pass over the texts; nothing is shuffled.
+Scoring is one pass over the texts, which are never shuffled; calibration shuffles
+(doc_id, language, logit).
 
 Edge cases: null, empty and symbol-only texts have no terms and get the score of
 the empty text; labels that are null are not used; labels that repeat a doc_id
-count as toxic if any does; without labels of both kinds all rows score 0;
+count as toxic if any does; without labels of both kinds in the sample all rows
+score 0; rows that share a doc_id with one learnt from are not calibrated on;
 repeated rows score alike; a null doc_id keeps its row; extra columns are
 ignored by ``score`` and kept by ``drop_toxic``.
 """
@@ -32,12 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NOT_TERM, bound_arrow, fresh, hash_runs, pieces, spans, table, text_buffer
+from tessera.llm.common import NOT_TERM, bound_arrow, fresh, hash_runs, pieces, spans, table, text_buffer, written
 
 BUCKETS = 1 << 17
 PAD = 3 * BUCKETS
 DIM, FILTERS, WIDTHS = 8, 6, (1, 2, 3)
 TAIL = max(WIDTHS) - 1
+#: Bins of the calibration's histogram, over logits from -SPAN to SPAN.
+BINS, SPAN = 4096, 32
 
 #: Function words by language; a text is of the language with the most of them.
 LANGUAGES = {
@@ -120,22 +130,45 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
-    """Between two logits, of the best F1; of several, the middle one."""
-    order = np.argsort(-logits, kind="stable")
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    distinct = np.append(np.diff(logits[order]) != 0, True)
-    good = np.flatnonzero(distinct & (f1 >= f1[distinct].max() - 1e-12))
+def best_threshold(bins: np.ndarray) -> float:
+    """Between two bins, of the best F1; of several, the middle one.  Rows of bins,
+    by rising logit: least and largest logit, rows, toxic rows."""
+    least, most, n, toxic = bins[::-1].T
+    f1 = 2 * np.cumsum(toxic) / (np.cumsum(n) + toxic.sum())
+    good = np.flatnonzero(f1 >= f1.max() - 1e-12)
     k = good[len(good) // 2]
-    below = logits[order[k + 1]] if k + 1 < len(y) else logits[order[k]] - 1
-    return float((logits[order[k]] + below) / 2)
+    below = most[k + 1] if k + 1 < len(n) else least[k] - 1
+    return float((least[k] + below) / 2)
+
+
+def thresholds(bins: np.ndarray) -> np.ndarray:
+    """By language, from rows of (learnt from, language, bin, least and largest logit,
+    rows, toxic rows)."""
+
+    def merged(rows: np.ndarray) -> np.ndarray:
+        _, at = np.unique(rows[:, 2], return_inverse=True)
+        out = np.tile([np.inf, -np.inf, 0.0, 0.0], (at.max() + 1, 1))
+        np.minimum.at(out[:, 0], at, rows[:, 3])
+        np.maximum.at(out[:, 1], at, rows[:, 4])
+        np.add.at(out[:, 2:], at, rows[:, 5:])
+        return out
+
+    kept = bins[bins[:, 0] == 0]
+    if kept[:, 6].sum() < 10:
+        kept = bins
+    out = np.full(len(LANGUAGES) + 1, best_threshold(merged(kept)))
+    for k in range(len(out)):
+        own = kept[kept[:, 1] == k]
+        if own[:, 5].sum() >= 40 and own[:, 6].sum() >= 10:
+            out[k] = best_threshold(merged(own))
+    return out
 
 
-def train(texts: list[np.ndarray], y: np.ndarray, calibrate: np.ndarray, epochs: int = 8, seed: int = 5) -> Model:
-    """texts: the ids of each text, pads included; y: 0 or 1; calibrate: rows kept back."""
+def train(texts: list[np.ndarray], y: np.ndarray, learnt: np.ndarray, epochs: int = 8, seed: int = 5) -> Model:
+    """texts: the ids of each text, pads included; y: 0 or 1; learnt: rows to train on.
+    Thresholds are left at 0."""
     rng = np.random.default_rng(seed)
-    fit = np.flatnonzero(~calibrate)
+    fit = np.flatnonzero(learnt)
     rate = float(y[fit].mean())
     seen, positive = np.zeros(PAD + 1), np.zeros(PAD + 1)
     for i in fit:
@@ -199,16 +232,6 @@ def train(texts: list[np.ndarray], y: np.ndarray, calibrate: np.ndarray, epochs:
             table_2[u] += (total**2).mean(axis=1)
             table_[u] -= (0.3 * step * total / np.sqrt(table_2[u])[:, None]).astype(np.float32)
             table_[PAD] = 0
-    held = np.flatnonzero(calibrate) if (y[calibrate] == 1).sum() >= 10 else np.arange(len(y))
-    logits, langs = np.empty(len(held)), np.empty(len(held), int)
-    for k, i in enumerate(held):
-        first = np.array([0, len(texts[i])])
-        logits[k], langs[k] = model.logits(texts[i], first)[0], languages(texts[i], first)[0]
-    common = best_threshold(logits, y[held])
-    for k in range(len(LANGUAGES) + 1):
-        own = langs == k
-        enough = own.sum() >= 40 and (y[held][own] == 1).sum() >= 10
-        model.thresholds[k] = best_threshold(logits[own], y[held][own]) if enough else common
     return model
 
 
@@ -217,7 +240,7 @@ def _ids(batches):
         data, off = text_buffer(batch.column("text"))
         for i, j in pieces(off):
             ids, first = terms(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            yield pa.RecordBatch.from_arrays([batch.column("y").slice(i, j - i), batch.column("fold").slice(i, j - i), pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["y", "fold", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("y").slice(i, j - i), batch.column("fold").slice(i, j - i), pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc_id", "y", "fold", "ids"])
 
 
 def held_out(doc_id):
@@ -225,22 +248,65 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_words: int = 50_000) -> Model | None:
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+
+
+def _weights(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_words: int) -> tuple[Model | None, list]:
+    """A model without thresholds, and the doc_ids it has learnt from."""
     bound_arrow(docs.sparkSession)
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)).cast("int"))
+    sample = _known(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)).cast("int"))
     # fit_rows bounds what is broadcast
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    got = rows.select("y", "fold", "text").mapInArrow(_ids, "y int, fold int, ids binary").where(F.length("ids") <= 12 * fit_words).limit(fit_rows).collect()
-    got = sorted(((r.y, r.fold, bytes(r.ids)) for r in got), key=lambda r: (r[1], r[0], len(r[2]), r[2]))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "fold", "text")
+    schema = rows.select("doc_id", "y", "fold", F.col("text").cast("binary").alias("ids")).schema
+    got = rows.mapInArrow(_ids, schema).where(F.length("ids") <= 12 * fit_words).limit(fit_rows).collect()
+    got = sorted(((r.y, r.fold, bytes(r.ids), r.doc_id) for r in got), key=lambda r: (r[1], r[0], len(r[2]), r[2]))
     y = np.array([r[0] for r in got])
     if not len(y) or y.min() == y.max():
-        return None
-    folds = np.array([r[1] for r in got])
-    calibrate = folds == 0
-    if (y[~calibrate] == 1).sum() < 10 or (y[~calibrate] == 0).sum() < 10:
-        calibrate[:] = False
-    return train([np.frombuffer(r[2], np.int32).reshape(-1, 3) for r in got], y, calibrate)
+        return None, []
+    learnt = np.array([r[1] for r in got]) != 0
+    if (y[learnt] == 1).sum() < 10 or (y[learnt] == 0).sum() < 10:
+        learnt[:] = True
+    model = train([np.frombuffer(r[2], np.int32).reshape(-1, 3) for r in got], y, learnt)
+    return model, sorted({r[3] for r, own in zip(got, learnt, strict=True) if own})
+
+
+def _calibrate(model: Model, logits: DataFrame, labels: DataFrame, learnt: list) -> None:
+    """Set the thresholds from (doc_id, lang, logit) of all rows."""
+    known = _known(labels)
+    # at most fit_rows ids
+    ids = logits.sparkSession.createDataFrame([(i,) for i in learnt], known.select("doc_id").schema).withColumn("learnt", F.lit(1))
+    rows = logits.join(known, "doc_id").join(F.broadcast(ids), "doc_id", "left")
+    at = F.floor((F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("logit") / SPAN)) + 1) / 2 * BINS)
+    bins = rows.groupBy(F.coalesce("learnt", F.lit(0)), "lang", at).agg(F.min("logit"), F.max("logit"), F.count("*"), F.sum("y")).collect()
+    model.thresholds = thresholds(np.array([tuple(r) for r in bins], float))
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_words: int = 50_000) -> Model | None:
+    """fit_rows and fit_words bound what the weights are learnt from; thresholds are
+    set from all labelled rows that are not held out."""
+    model, learnt = _weights(docs, labels, fit_rows, fit_words)
+    if model is not None:
+        _calibrate(model, text_logits(docs, model), labels, learnt)
+    return model
+
+
+def text_logits(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang, logit) of each row of docs (doc_id, text)."""
+    spark = docs.sparkSession
+    bound_arrow(spark)
+    shared = spark.sparkContext.broadcast(model)  # of fixed size: the hashed table
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            data, off = text_buffer(batch.column("text"))
+            for i, j in pieces(off, 2 << 20):
+                ids, first = terms(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(languages(ids, first).astype(np.int32)), pa.array(m.logits(ids, first).astype(np.float64))], ["doc_id", "lang", "logit"])
+
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, rows.select("doc_id", F.lit(0).alias("lang"), F.lit(0.0).alias("logit")).schema)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -288,8 +354,19 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFr
     return with_score(docs, model, name).where(F.col(name) < least).drop(name)
 
 
+def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_words: int = 50_000) -> DataFrame:
+    """(doc_id, score) of each row of docs: ``fit`` and ``score`` with one scoring pass."""
+    model, learnt = _weights(docs, labels, fit_rows, fit_words)
+    if model is None:
+        return score(docs, model)
+    logits = written(text_logits(docs, model), "logits")
+    _calibrate(model, logits, labels, learnt)
+    own = F.array(*[F.lit(float(t)) for t in model.thresholds])[F.col("lang")]
+    x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("logit") - own))
+    return logits.select(F.col("doc_id").cast("long").alias("doc_id"), (1 / (1 + F.exp(-x))).alias("score"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: toxicity of all documents."""
-    docs = table(spark, sf_dir, "documents")
-    scores = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    scores = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

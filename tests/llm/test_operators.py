@@ -176,6 +176,36 @@ def test_classifiers_on_held_out_rows(spark):
         assert auc > least, (name, auc)
 
 
+def test_toxicity_thresholds_come_from_all_labelled_rows(spark):
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(3000):
+        es = i % 4 == 0
+        toxic = int(rng.random() < (0.06 if es else 0.3))
+        words = [f"w{x}" for x in rng.integers(0, 60, 12)] + ["el los las del" if es else "the of and to"]
+        if rng.random() < (0.8 if toxic else 0.1):
+            words.append("vile")
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model, learnt = toxicity._weights(docs, known, 200, 50_000)
+    fitted = toxicity.fit(docs, known, fit_rows=200)
+    assert len(learnt) < 200
+    got = {r.doc_id: r for r in toxicity.text_logits(docs, model).collect()}
+    use = [r.doc_id for r in known.where(~toxicity.held_out(F.col("doc_id"))).collect() if r.doc_id not in set(learnt)]
+    assert len(use) > 2000
+    y = dict(labels)
+    for lang in (list(toxicity.LANGUAGES).index(k) for k in ("en", "es")):
+        own = [i for i in use if got[i].lang == lang]
+        x, t = np.array([got[i].logit for i in own]), np.array([y[i] for i in own])
+        f1 = lambda cut: 2 * t[x >= cut].sum() / ((x >= cut).sum() + t.sum())
+        assert f1(fitted.thresholds[lang]) >= max(f1(c) for c in x) - 0.01
+    assert fitted.thresholds[0] != fitted.thresholds[3] and fitted.thresholds[3] != fitted.thresholds[-1]
+    one = {r.doc_id: r.score for r in toxicity.score(docs, fitted).collect()}
+    two = {r.doc_id: r.score for r in toxicity.toxicity(docs, known, fit_rows=200).collect()}
+    assert one.keys() == two.keys() and max(abs(one[i] - two[i]) for i in one) < 1e-4
+
+
 def _sets(texts, n):
     out = []
     for t in texts:
