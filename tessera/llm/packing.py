@@ -4,7 +4,10 @@ A global histogram of lengths (one row per length bin) is reduced on the
 executors; a dynamic programme over it chooses the bucket boundaries that
 minimise padding.  Bins keep the ten leading bits of a length, so lengths up to
 1,023 are exact and longer bins are at most 0.2 % wide; there are at most 28,000
-bins whatever the input, which is the proven bound of what the driver gets.
+bins whatever the input, which is the proven bound of what the driver gets.  A
+bin has its largest length, count and sum of lengths, so a boundary is the length
+of a document and the cost of a choice is exact; only the choice is approximate,
+as boundaries inside a bin are not tried.
 Inside a bucket, batches hold as many documents as the token budget allows at
 the bucket's padded length.
 
@@ -35,15 +38,16 @@ def top_of_bin(length):
     return F.when(bits == 0, length).otherwise(F.expr("0L") + (F.call_function("shiftleft", F.call_function("shiftright", length, bits) + 1, bits) - 1)).cast("long")
 
 
-def best_boundaries(tops: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
+def best_boundaries(tops: np.ndarray, counts: np.ndarray, buckets: int, sums: np.ndarray | None = None) -> list[int]:
     """At most ``buckets`` of the tops, the last included, that minimise the sum of
-    count * (boundary - top) over the histogram.  Each layer of the programme is
-    solved by divide and conquer, as its best cuts never move left."""
+    count * boundary - sum of lengths over the histogram; without ``sums`` all lengths
+    of a bin are its top.  Each layer of the programme is solved by divide and
+    conquer, as its best cuts never move left."""
     n = len(tops)
     if n == 0:
         return []
     many = np.concatenate([[0], np.cumsum(counts, dtype=np.float64)])
-    held = np.concatenate([[0], np.cumsum(counts * tops.astype(np.float64))])
+    held = np.concatenate([[0], np.cumsum(counts * tops.astype(np.float64) if sums is None else sums, dtype=np.float64)])
     cost = lambda i, j: tops[j - 1] * (many[j] - many[i]) - (held[j] - held[i])  # noqa: E731  bins i .. j - 1 padded to the top of the last
     at = np.arange(1, n + 1)
     best = np.concatenate([[0.0], cost(0, at)])
@@ -58,9 +62,9 @@ def best_boundaries(tops: np.ndarray, counts: np.ndarray, buckets: int) -> list[
                 continue
             j = (lo + hi) // 2
             i = np.arange(left, min(right, j - 1) + 1)
-            sums = best[i] + cost(i, j)
-            k = int(sums.argmin())
-            new[j], cut[j] = sums[k], i[k]
+            costs = best[i] + cost(i, j)
+            k = int(costs.argmin())
+            new[j], cut[j] = costs[k], i[k]
             todo += [(lo, j - 1, left, int(i[k])), (j + 1, hi, int(i[k]), right)]
         best = new
         cuts.append(cut)
@@ -82,15 +86,16 @@ def packed(docs: DataFrame, buckets: int = 16, budget: int = 65_536) -> DataFram
 def packed_lengths(lengths: DataFrame, buckets: int = 16, budget: int = 65_536) -> DataFrame:
     """As ``packed``, from (doc_id, n_tokens)."""
     rows = written(lengths.select("doc_id", "n_tokens", top_of_bin(F.col("n_tokens")).alias("top")), "lengths")
-    bins = sorted((r[0], r[1]) for r in rows.groupBy("top").count().collect())
+    # the largest length of a bin stands for its top
+    bins = sorted(tuple(r)[1:] for r in rows.groupBy("top").agg(F.max("n_tokens"), F.count("*"), F.sum(F.col("n_tokens").cast("double"))).collect())
     tops, counts = np.array([b[0] for b in bins], np.int64), np.array([b[1] for b in bins], np.int64)
-    edges = best_boundaries(tops, counts, buckets)
+    edges = best_boundaries(tops, counts, buckets, np.array([b[2] for b in bins]))
     if not edges:
         edges = [0]
     held = np.zeros(len(edges), np.int64)
     np.add.at(held, np.searchsorted(edges, tops), counts)
     known = F.array(*[F.struct(F.lit(i).alias("bucket"), F.lit(int(e)).cast("long").alias("padded_to"), F.lit(int(max(1, -(-int(h) // STREAM)))).cast("long").alias("streams")) for i, (e, h) in enumerate(zip(edges, held, strict=True))])
-    which = F.expr("aggregate(array(" + ", ".join(f"{e}L" for e in edges[:-1]) + "), 0, (n, e) -> n + if(top > e, 1, 0))") if len(edges) > 1 else F.lit(0)
+    which = F.expr("aggregate(array(" + ", ".join(f"{e}L" for e in edges[:-1]) + "), 0, (n, e) -> n + if(n_tokens > e, 1, 0))") if len(edges) > 1 else F.lit(0)
     named = rows.select("doc_id", "n_tokens", F.get(known, which).alias("b")).select("doc_id", "n_tokens", "b.*")
     named = named.withColumn("stream", F.pmod(F.xxhash64("doc_id"), F.col("streams")))
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("padded_to", F.lit(1)))).cast("long")

@@ -287,6 +287,19 @@ def test_packing_keeps_rows_and_budgets(spark, data_dir):
         assert len(b) == 1 or len(b) * b[0].padded_to <= 3000
 
 
+def test_packing_pads_to_real_lengths(spark):
+    lengths = [3, 40, 40, 1500, 1501, 2049, 2050, 30_001, 30_020, 65_536]
+    for k in (1, 3, 16):
+        rows = packing.packed_lengths(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long"), k).collect()
+        by = defaultdict(list)
+        for r in rows:
+            by[r.bucket].append(r)
+        assert len(rows) == len(lengths) and len(by) <= k
+        for own in by.values():
+            assert {r.padded_to for r in own} == {max(r.n_tokens for r in own)}
+        assert max(r.padded_to for r in rows) == 65_536
+
+
 def test_pipeline(spark, tmp_path, data_dir):
     import corpus_pipeline
 
