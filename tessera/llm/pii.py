@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -348,6 +349,19 @@ def _windows(ids: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([k, np.maximum(k - 1, 0)])) * STRIDE
 
 
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint intervals that the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def find_spans(texts: list[str], model: Tagger) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text: its base spans, and those that the model adds."""
     base = [base_spans(t) if t else [] for t in texts]
@@ -388,12 +402,12 @@ def find_spans(texts: list[str], model: Tagger) -> list[tuple[list[tuple[int, in
     out = []
     for text, own, more in zip(texts, base, found, strict=True):
         kept = []
-        taken = sorted((a, b) for _, a, b in own)
+        starts, ends = _merged(own)
         for score, kind, a, b in more:
             while b > a and text[b - 1] in " -.(":
                 b -= 1
-            k = int(np.searchsorted([x for x, _ in taken], b)) if taken else 0
-            if any(x < b and a < y for x, y in taken[max(0, k - 8) : k + 1]):
+            k = bisect_left(starts, b)
+            if k and ends[k - 1] > a:
                 continue
             if b > a and _valid(kind, text[a:b], text[a - 1] if a else "", text[b] if b < len(text) else ""):
                 kept.append((score, kind, a, b))

@@ -147,6 +147,24 @@ def test_model_adds_what_patterns_miss():
     assert pii.find_spans([clean, ""], pii.trained()) == [([], []), ([], [])]
 
 
+def test_model_spans_overlap_no_base_span():
+    text = "1.2.3.4_" * 9 + "523-555-1055@x.de"
+
+    class Phone:
+        def emissions(self, ids):
+            e = np.zeros((*ids.shape, pii.TAGS))
+            e[0, 72, 7] = e[0, 73:84, 8] = 1
+            return e, None
+
+        def viterbi(self, e):
+            return e.argmax(axis=2)
+
+    own, more = pii.find_spans([text], Phone())[0]
+    assert (0, 0, len(text)) in own and len(own) == 10 and more == []
+    free = text.replace("@x.de", " x.de")
+    assert pii.find_spans([free], Phone())[0][1] == [(3, 72, 84)]
+
+
 def test_best_disjoint_is_the_heaviest_set():
     from itertools import combinations
 
