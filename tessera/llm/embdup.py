@@ -16,11 +16,11 @@ return a number of links per home vector and edges that span the tile's linked
 groups.  Equal vectors are one class that is compared once.
 
 Edge cases: a null label, a vector that is null, empty, zero, or holds a null or
-non-finite component links with nothing and is its own component; vectors of
-different lengths are not compared; repeated rows are members of one class and
-link with each other; rows that repeat a vec_id are one node; a class without
-any vec_id has no node, and its rows only count each other; extra columns are
-ignored.
+non-finite component links with nothing and is its own component; so does a row
+without a vec_id, as in the SQL, where it equals no id: no row counts it, and its
+component is null; vectors of different lengths are not compared; repeated rows
+are members of one class and link with each other; rows that repeat a vec_id are
+one node; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -170,12 +170,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("wide"), "embedding")
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     square = F.aggregate("wide", F.lit(0.0), lambda s, v: s + v * v)
-    valid = F.coalesce(F.col("label").isNotNull() & (F.size("wide") > 0) & ~F.exists("wide", bad), F.lit(False))
+    valid = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("wide") > 0) & ~F.exists("wide", bad), F.lit(False))
     rows = rows.withColumn("valid", F.when(valid, square > 0).otherwise(False)).drop("wide")
     # of invalid rows no vector is kept: they need not meet anywhere
     rows = rows.select("vec_id", "valid", F.when(F.col("valid"), F.col("label")).alias("label"), F.when(F.col("valid"), F.col("embedding")).alias("embedding"))
     classes = rows.where("valid").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
-    classes = written(classes.where("node is not null").mapInArrow(_rotate, "label int, embedding array<float>, node long, n long, rotated array<float>"), "vectors")
+    classes = written(classes.mapInArrow(_rotate, "label int, embedding array<float>, node long, n long, rotated array<float>"), "vectors")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     grid = min(MOST_GRID, 2 + max(0, math.ceil(math.log(max(1, most / 20_000), 3))))
     cells = ", ".join(f"{c} int" for c in _CELL)

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -273,6 +274,20 @@ def test_vectors_equal_brute_force(spark):
     assert sum(links.values()) > 100
 
 
+def test_vectors_without_an_id_link_with_nothing(spark):
+    near = lambda x: [1.0, x, 0.0, 0.0]
+    # 1 and 2 are not within 0.98 of each other, but both are of the rows between
+    rows = [(1, near(0.0), 0), (None, near(0.0), 0), (None, near(0.15), 0), (None, near(0.15), 0), (2, near(0.3), 0), (3, near(0.31), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = embdup.near_vectors(df).collect()
+    with duckdb.connect() as con:
+        embeddings = df.toArrow()
+        con.register("embeddings", embeddings)
+        want = sorted(con.execute(registry.ORACLE_SQL["op8_embedding"]).fetchall())
+    assert sorted(tuple(r) for r in got if r.vec_id is not None) == want == [(1, 0, 1, True), (2, 1, 2, True), (3, 1, 2, False)]
+    assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)] * 3
+
+
 def test_packing_keeps_rows_and_budgets(spark, data_dir):
     docs = table(spark, data_dir, "documents")
     rows = packing.packed(docs, 6, 3000).collect()
