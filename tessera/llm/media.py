@@ -7,8 +7,8 @@ of GIFs into one row per frame with its time and a colour histogram.
 
 LZW streams are decoded by a general decoder; a stream that only holds literal
 codes between clear codes close enough that the code width never grows is
-decoded by array operations, with the same result (the encoder writes such
-streams; they are valid GIF).
+decoded by array operations, with the same result (``encode`` writes such streams
+unless told to compress; they are valid GIF).  ``to_gif`` compresses.
 
 Edge cases: null and empty inputs are encoded as one frame of 64 zero samples;
 a file that is no GIF, or is cut short, raises ValueError in ``decode`` and
@@ -316,7 +316,7 @@ def _encode(batches):
     for batch in batches:
         data, off = text_buffer(batch.column("text"))
         raw = data.tobytes()
-        media = [encode(payload_of(raw[a:b])) for a, b in zip(off[:-1], off[1:], strict=True)]
+        media = [encode(payload_of(raw[a:b]), compress=True) for a, b in zip(off[:-1], off[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 

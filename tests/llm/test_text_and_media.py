@@ -1,5 +1,6 @@
 """Kernels without Spark: hashing, GIF, packing, PII, training."""
 
+import hashlib
 import io
 import random
 import re
@@ -147,6 +148,19 @@ def test_model_adds_what_patterns_miss():
     assert pii.find_spans([clean, ""], pii.trained()) == [([], []), ([], [])]
 
 
+def test_query_stores_compressed_streams(monkeypatch):
+    texts = ["ab" * 20_000, "", "some words and some words"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])
+    calls = []
+    whole = media._unlzw
+    monkeypatch.setattr(media, "_unlzw", lambda *a: calls.append(a) or whole(*a))
+    stored = next(media._encode([batch]))
+    assert len(stored.column("media")[0].as_py()) < 10_000
+    got = next(media._features([stored])).to_pydict()
+    assert got["payload_sha256"] == [hashlib.sha256(media.payload_of(t.encode())).hexdigest() for t in texts]
+    assert len(calls) >= 2
+
+
 def test_model_spans_overlap_no_base_span():
     text = "1.2.3.4_" * 9 + "523-555-1055@x.de"
 
