@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera import errors
+
 #: UTC stamps, errors instead of silent overflow, and a plan that adapts at run time.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,10 +32,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named (tests)."""
+    """The cluster's shared folder; a local one only where none is named and all
+    executors are threads of this process (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise errors.DriveError("spark.checkpoint.dir must name a folder that all executors see")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(named)
     return f"{named.rstrip('/')}/tessera-{sc.applicationId}"
