@@ -6,49 +6,19 @@ splitting UTF-8 bytes gives the same words as splitting code points.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import materialised as written  # noqa: F401
+from tessera.session import new_path as scratch  # noqa: F401
+from tessera.session import read as table  # noqa: F401
+
 #: A word of every contract that counts words.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one only where none is set (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/tessera-{sc.applicationId}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: computed once,
-    and a lost executor costs no more than a reread."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -71,7 +41,8 @@ _LOWER[65:91] += 32
 _TABLE = (_RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[_LOWER]
 _R = np.uint64(0x9E3779B97F4A7C15)
 _RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_PIECE = 1 << 20
+#: Bytes that are worked on at once, whatever the length of a text or of a run.
+_PIECE = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 SPACE = np.zeros(256, bool)
@@ -82,9 +53,10 @@ NOT_TERM[48:58] = NOT_TERM[65:91] = NOT_TERM[97:123] = NOT_TERM[128:] = False
 
 
 def _pow(base: np.uint64, n: int) -> np.ndarray:
+    """The first powers of base, n at least; n is two pieces at most."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        a = np.full(max(n, _PIECE + 4096), base, np.uint64)
+        a = np.full(max(n, 2 * _PIECE), base, np.uint64)
         a[0] = 1
         have = _powers[int(base)] = np.cumprod(a, dtype=np.uint64)
     return have
@@ -113,31 +85,58 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def spans(data: np.ndarray, off: np.ndarray, separates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that do not separate, within
     each text; and for each text the index of its first run (n + 1 numbers)."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    sep = separates[data]
-    before = np.empty(len(sep), bool)
-    before[0], before[1:] = True, sep[:-1]
-    before[off[:-1][off[:-1] < off[1:]]] = True
-    starts = np.flatnonzero(~sep & before)
-    before[:-1], before[-1] = sep[1:], True
-    before[off[1:][off[:-1] < off[1:]] - 1] = True
-    ends = np.flatnonzero(~sep & before) + 1
-    return starts, ends, np.searchsorted(starts, off)
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    filled = off[:-1] < off[1:]
+    opens, closes = off[:-1][filled], off[1:][filled] - 1
+    for lo in range(0, len(data), 4 * _PIECE):
+        hi = min(len(data), lo + 4 * _PIECE)
+        run = ~separates[data[lo:hi]]
+        edge = np.ones(hi - lo, bool)
+        edge[1:] = ~run[:-1]
+        edge[0] = lo == 0 or separates[data[lo - 1]]
+        edge[opens[np.searchsorted(opens, lo) : np.searchsorted(opens, hi)] - lo] = True
+        starts.append(np.flatnonzero(run & edge) + lo)
+        edge[:-1] = ~run[1:]
+        edge[-1] = hi == len(data) or separates[data[hi]]
+        edge[closes[np.searchsorted(closes, lo) : np.searchsorted(closes, hi)] - lo] = True
+        ends.append(np.flatnonzero(run & edge) + lo + 1)
+    begun = np.concatenate(starts)
+    return begun, np.concatenate(ends), np.searchsorted(begun, off)
+
+
+def _hash_long(data: np.ndarray, start: int, end: int) -> np.uint64:
+    """The hash of one run before mixing: pieces, each times its place's power."""
+    total, power, step = 0, 1, pow(int(_R), _PIECE, 1 << 64)
+    for lo in range(start, end, _PIECE):
+        own = _TABLE[data[lo : min(end, lo + _PIECE)]]
+        total += int((own * _pow(_R, len(own))[: len(own)]).sum(dtype=np.uint64)) * power
+        power = power * step % (1 << 64)
+    return np.uint64(total % (1 << 64))
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes, upper-case ASCII read as lower-case."""
+    """A 64-bit hash of each run of bytes, upper-case ASCII read as lower-case.
+    ``starts`` rise.  Memory is some pieces beside the result, also for long runs."""
     out = np.empty(len(starts), np.uint64)
+    far = ends - starts > _PIECE
+    for k in np.flatnonzero(far):
+        out[k] = _hash_long(data, int(starts[k]), int(ends[k]))
+    near = np.flatnonzero(~far)
+    if len(near) == len(starts):
+        begin, stop, dealt = starts, ends, out
+    else:
+        begin, stop, dealt = starts[near], ends[near], np.empty(len(near), np.uint64)
     i = 0
-    while i < len(starts):
-        lo = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(starts, lo + _PIECE)))
-        hi = int(ends[j - 1]) if j - i == 1 else int(ends[i:j].max())
+    while i < len(begin):
+        lo = int(begin[i])
+        j = int(np.searchsorted(begin, lo + _PIECE))
+        hi = int(stop[i:j].max())
         sums = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_TABLE[data[lo:hi]] * _pow(_R, hi - lo)[: hi - lo], out=sums[1:])
-        out[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * _pow(_RINV, hi - lo)[starts[i:j] - lo]
+        dealt[i:j] = (sums[stop[i:j] - lo] - sums[begin[i:j] - lo]) * _pow(_RINV, hi - lo)[begin[i:j] - lo]
         i = j
+    if dealt is not out:
+        out[near] = dealt
     return mix(out)
 
 

@@ -268,12 +268,34 @@ def test_vectors_equal_brute_force(spark):
             links[b] += 1
             lo, hi = sorted((least[a], least[b]))
             least = {i: lo if v == hi else v for i, v in least.items()}
-    got = {r.vec_id: r for r in embdup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    for i, _, _ in rows:
-        assert (got[i].n_links, got[i].component_id, got[i].kept) == (links[i], least[i], least[i] == i), i
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit("x")).withColumn("n", F.lit(None)).withColumn("population", F.lit(0))
+    for local in (8192, 20):  # labels that meet in one task, and labels dealt by cells
+        got = {r.vec_id: r for r in embdup.near_vectors(df, local=local).collect()}
+        for i, _, _ in rows:
+            assert (got[i].n_links, got[i].component_id, got[i].kept) == (links[i], least[i], least[i] == i), (local, i)
     assert sum(links.values()) > 100
 
 
+def test_full_cells_are_cut_in_tiles_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(embdup, "TILE", 7)
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=8) + rng.normal(size=(120, 8)) * 0.13).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    u = x.astype(np.float64)
+    u = u @ u.T / np.sqrt((u**2).sum(axis=1)[:, None] * (u**2).sum(axis=1))
+    np.fill_diagonal(u, 0)
+    got = {r.vec_id: r.n_links for r in embdup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), local=10).collect()}
+    assert [got[i] for i in range(120)] == (u >= 0.98).sum(axis=1).tolist() and sum(got.values()) > 500
+
+
+def test_few_pairs_of_vectors_are_looked_at(spark):
+    vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
+    all_pairs = vectors.groupBy("label").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    for local in (8192, 100):
+        found = embdup.found_links(embdup.vector_classes(vectors)[1], 0.98, local)
+        assert 0 < found.agg(F.sum("compared")).first()[0] < 0.2 * all_pairs
+
+
 def test_vectors_without_an_id_link_with_nothing(spark):
     near = lambda x: [1.0, x, 0.0, 0.0]
     # 1 and 2 are not within 0.98 of each other, but both are of the rows between
