@@ -1,19 +1,24 @@
 """Media columns: GIF encoding, decoding and features.
 
-``encode`` writes 8-bit samples as an animated GIF89a; ``decode`` reads any GIF:
-it decodes the LZW code streams, undoes interlacing, and composes timed frames by
-the palettes, the disposal and the transparency rules.  ``frames`` turns a column
-of GIFs into one row per frame with its time and a colour histogram.
+``encode`` writes 8-bit samples as an animated GIF89a with compressed LZW streams;
+``composed`` reads any GIF frame by frame: it decodes the LZW code streams, undoes
+interlacing, and composes timed frames by the palettes, the disposal and the
+transparency rules.  ``frames`` turns a column of GIFs into one row per frame with
+its time and a colour histogram.
 
-LZW streams are decoded by a general decoder; a stream that only holds literal
-codes between clear codes close enough that the code width never grows is
-decoded by array operations, with the same result (``encode`` writes such streams
-unless told to compress; they are valid GIF).  ``to_gif`` compresses.
+LZW.  The width of a code follows from its number since the last clear code alone, so
+widths are a table and codes are packed and unpacked by array operations.  The encoder
+looks up (prefix, sample) in a dictionary; the decoder keeps no dictionary at all: the
+entry that code number m has made is the output from where m began to one sample beyond
+where it ended, so every code is a copy of earlier output.
+
+The query stores the media column in the shared folder and computes the features from
+what is read back; memory is a batch of GIFs and one frame.
 
 Edge cases: null and empty inputs are encoded as one frame of 64 zero samples;
 a file that is no GIF, or is cut short, raises ValueError in ``decode`` and
-gives no rows but an error column value in ``frames``; equal inputs give equal
-bytes; extra columns are ignored.
+ends with a row of an error in ``frames``; equal inputs give equal
+bytes; a null doc_id keeps its row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +26,19 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_arrow, table, text_buffer
+from tessera.llm.common import bound_arrow, table, text_buffer, written
 
 WIDTH, ROWS = 64, 4096
 DELAY = 10  # hundredths of a second a frame
-_EVERY = 252
 _I = np.arange(256)
 #: Red is the sample itself, so the palette loses nothing.
 PALETTE = np.stack([_I, (_I * 37) & 255, 255 - _I], axis=1).astype(np.uint8)
@@ -46,74 +52,135 @@ class Frame:
     top: int
     samples: np.ndarray  # palette indices of the frame's own rectangle
     palette: np.ndarray
-    canvas: np.ndarray  # height x width x 4: what is shown, RGBA
+    canvas: np.ndarray  # height x width x 4: what is shown, RGBA; of ``composed``, until the next frame
 
 
-# -------------------------------------------------------------------- writing
+# ------------------------------------------------------------------------ LZW
+
 
+@lru_cache(maxsize=16)
+def _places(bits: int) -> np.ndarray:
+    """At which bit each code after a clear code begins (a table holds 4,096 entries, so
+    beyond these all are 12 bits wide)."""
+    held = (1 << bits) + 2 + np.maximum(np.arange(4200) - 1, 0)
+    widths = np.clip(np.floor(np.log2(held)).astype(np.int64) + 1, bits + 1, 12)
+    return np.concatenate([[0], np.cumsum(widths)])
 
-def _literal_stream(samples: np.ndarray) -> bytes:
-    """Nine-bit literal codes with a clear code before each run of _EVERY."""
-    n = len(samples)
-    runs = -(-n // _EVERY)
-    codes = np.full(runs * (_EVERY + 1), 257, np.uint16).reshape(runs, _EVERY + 1)
-    codes[:, 0] = 256
-    whole = n // _EVERY
-    codes[:whole, 1:] = samples[: whole * _EVERY].reshape(whole, _EVERY)
-    codes[whole:, 1 : 1 + n - whole * _EVERY] = samples[whole * _EVERY :]
-    flat = codes.ravel()[: n + runs]
-    c = np.zeros(-(-(len(flat) + 1) // 8) * 8, np.uint16)
-    c[: len(flat)], c[len(flat)] = flat, 257
-    c = c.reshape(-1, 8)
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, 0] = c[:, 0] & 255
-    for k in range(1, 8):
-        out[:, k] = ((c[:, k] << k) | (c[:, k - 1] >> (9 - k))) & 255
-    out[:, 8] = c[:, 7] >> 1
-    return out.tobytes()[: -(-(len(flat) + 1) * 9 // 8)]
+
+def _at(bits: int, n: int) -> np.ndarray:
+    """The places of the first n codes, and where the next one begins."""
+    known = _places(bits)
+    if n < len(known):
+        return known[: n + 1]
+    return np.concatenate([known, known[-1] + 12 * np.arange(1, n + 2 - len(known))])
 
 
 def _lzw(samples: np.ndarray, bits: int) -> bytes:
-    """Compressing LZW of palette indices below 2 ** bits."""
-    clear, out, held, have = 1 << bits, bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, have
-        held |= code << have
-        have += width
-        while have >= 8:
-            out.append(held & 255)
-            held >>= 8
-            have -= 8
-
-    known: dict[tuple[int, int], int] = {}
-    width, following, prefix = bits + 1, clear + 2, -1
-    put(clear, width)
-    for x in samples.tolist():
-        if prefix < 0:
-            prefix = x
-        elif (prefix, x) in known:
-            prefix = known[prefix, x]
-        else:
-            put(prefix, width)
+    """Compressed codes of palette indices below 2 ** bits."""
+    clear = 1 << bits
+    codes, starts = [clear], [0]  # starts: where a table begins
+    add, known, following = codes.append, {}, clear + 2
+    get = known.get
+    data = iter(samples.tolist())
+    prefix = next(data, None)
+    for x in data:
+        key = prefix << 8 | x
+        code = get(key)
+        if code is None:
+            add(prefix)
             if following < 4096:
-                known[prefix, x] = following
-                if following == 1 << width and width < 12:
-                    width += 1
+                known[key] = following
                 following += 1
             else:
-                put(clear, width)
+                add(clear)
+                starts.append(len(codes))
                 known.clear()
-                width, following = bits + 1, clear + 2
+                following = clear + 2
             prefix = x
-    if prefix >= 0:
-        put(prefix, width)
-        if following == 1 << width and width < 12:
-            width += 1
-    put(clear + 1, width)
-    if have:
-        out.append(held & 255)
-    return bytes(out)
+        else:
+            prefix = code
+    if prefix is not None:
+        add(prefix)
+    add(clear + 1)
+    # the first clear code is alone, any later one closes its table's run
+    starts[0] = 1
+    ends = [*starts[1:], len(codes)]
+    at, base = np.empty(len(codes) + 1, np.int64), bits + 1
+    at[0] = 0
+    for i, j in zip(starts, ends, strict=True):
+        places = base + _at(bits, j - i)
+        at[i : j + 1] = places
+        base = int(places[-1])
+    value = np.array(codes, np.uint32) << (at[:-1] & 7).astype(np.uint32)
+    byte = at[:-1] >> 3
+    out = np.zeros((base + 7) // 8 + 3, np.uint8)
+    # bits that share a byte differ, so their sum is their union
+    for shift in (0, 8, 16):
+        part = (value >> np.uint32(shift)) & np.uint32(255)
+        out += np.bincount(byte + shift // 8, part, len(out)).astype(np.uint8)
+    return out[: (base + 7) // 8].tobytes()
+
+
+def _unlzw(stream: bytes, bits: int, n: int) -> np.ndarray:
+    """The n samples of a stream of codes."""
+    clear = 1 << bits
+    raw = np.zeros(len(stream) + 4, np.uint32)
+    raw[: len(stream)] = np.frombuffer(stream, np.uint8)
+    out, base, total = bytearray(), 0, 8 * len(stream)
+    take = 64
+    while len(out) < n:
+        # the codes up to the next clear or end code, more at a time while there is none
+        took = max(0, min(take, 1 + (total - base) // (bits + 1)))
+        at = base + _at(bits, took)
+        took = int(np.searchsorted(at, total, "right")) - 1
+        if took <= 0:
+            raise ValueError("the image data end early")
+        o = at[:took]
+        b, width = o >> 3, (at[1 : took + 1] - o).astype(np.uint32)
+        codes = ((raw[b] | raw[b + 1] << np.uint32(8) | raw[b + 2] << np.uint32(16)) >> (o & 7).astype(np.uint32)) & ((np.uint32(1) << width) - np.uint32(1))
+        special = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        if not len(special) and at[took] + 12 <= total and took >= take:
+            take *= 4
+            continue
+        last = int(special[0]) if len(special) else took
+        entry = codes[:last].astype(np.int64) - clear - 2
+        # a code can only mean an entry that is made by then, or is just being made
+        wrong = np.flatnonzero((entry >= np.minimum(np.arange(last), 4094 - clear)) | ((entry < 0) & (codes[:last] >= clear)))
+        _copy(entry[: wrong[0] if len(wrong) else last].tolist(), clear + 2, out, n)
+        if len(out) >= n:
+            break
+        if len(wrong):
+            raise ValueError("the image data are damaged")
+        if not len(special) or codes[last] == clear + 1:
+            raise ValueError("the image data end early")
+        base, take = int(at[last + 1]), 4096
+    return np.frombuffer(bytes(out[:n]), np.uint8)
+
+
+def _copy(entries: list[int], literals: int, out: bytearray, n: int) -> None:
+    """Append what the codes of one table stand for; codes below the table's entries are
+    negative here."""
+    p = len(out)
+    pos: list[int] = []
+    begins, append = pos.append, out.append
+    for m in entries:
+        begins(p)
+        if m < 0:
+            append(m + literals)
+            p += 1
+            continue
+        a, e = pos[m], pos[m + 1] + 1
+        if e <= p:
+            out += out[a:e]
+        else:  # the entry ends with the sample that it begins with here
+            out += out[a:p]
+            append(out[a])
+        p += e - a
+        if p >= n:
+            return
+
+
+# -------------------------------------------------------------------- writing
 
 
 def _blocks(stream: bytes) -> bytes:
@@ -125,7 +192,7 @@ def _blocks(stream: bytes) -> bytes:
     return a.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def encode(payload: bytes, compress: bool = False) -> bytes:
+def encode(payload: bytes) -> bytes:
     """A GIF whose samples, 64 in a row, are the payload's bytes; the payload must
     be a positive multiple of 64 bytes long."""
     if not payload or len(payload) % WIDTH:
@@ -137,7 +204,7 @@ def encode(payload: bytes, compress: bool = False) -> bytes:
         own = samples[at * WIDTH : (at + ROWS) * WIDTH]
         out.append(b"\x21\xf9\x04\x04" + struct.pack("<H", DELAY) + b"\0\0")
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(own) // WIDTH, 0) + b"\x08")
-        out.append(_blocks(_lzw(own, 8) if compress else _literal_stream(own)))
+        out.append(_blocks(_lzw(own, 8)))
     out.append(b"\x3b")
     return b"".join(out)
 
@@ -145,71 +212,6 @@ def encode(payload: bytes, compress: bool = False) -> bytes:
 # -------------------------------------------------------------------- reading
 
 
-def _literals(stream: np.ndarray, n: int) -> np.ndarray | None:
-    """The samples of a stream of nine-bit literal codes, or None if it is no such
-    stream or doesn't hold n samples."""
-    whole = -(-len(stream) // 9)
-    b = np.zeros(whole * 9 + 1, np.uint16)
-    b[: len(stream)] = stream
-    rows = b[:-1].reshape(whole, 9)
-    codes = np.empty((whole, 8), np.uint16)
-    for k in range(8):
-        codes[:, k] = ((rows[:, k] >> k) | (rows[:, k + 1] << (8 - k))) & 511
-    codes = codes.ravel()[: len(stream) * 8 // 9]
-    special = np.flatnonzero(codes >= 256)
-    ends = special[codes[special] != 256]
-    if len(ends) == 0 or codes[ends[0]] != 257 or codes[0] != 256:
-        return None
-    end = ends[0]
-    clears = special[special < end]
-    if np.diff(np.append(clears, end)).max() > 254:  # the width would grow
-        return None
-    keep = np.ones(end, bool)
-    keep[clears] = False
-    samples = codes[:end][keep].astype(np.uint8)
-    return samples if len(samples) == n else None
-
-
-def _unlzw(stream: bytes, bits: int, n: int) -> np.ndarray:
-    clear = 1 << bits
-    first = [bytes([i]) for i in range(clear)] + [b"", b""]
-    known, width, last = list(first), bits + 1, None
-    out, held, have, at = bytearray(), 0, 0, 0
-    while len(out) < n:
-        while have < width:
-            if at >= len(stream):
-                raise ValueError("the image data end early")
-            held |= stream[at] << have
-            have += 8
-            at += 1
-        code = held & ((1 << width) - 1)
-        held >>= width
-        have -= width
-        if code == clear:
-            known, width, last = list(first), bits + 1, None
-            continue
-        if code == clear + 1:
-            raise ValueError("the image data end early")
-        if last is None:
-            if code >= clear:
-                raise ValueError("the image data are damaged")
-            entry = known[code]
-        else:
-            if code < len(known):
-                entry = known[code]
-            elif code == len(known) and len(known) < 4096:
-                entry = last + last[:1]
-            else:
-                raise ValueError("the image data are damaged")
-            if len(known) < 4096:
-                known.append(last + entry[:1])
-                if len(known) == 1 << width and width < 12:
-                    width += 1
-        out += entry
-        last = entry
-    return np.frombuffer(bytes(out[:n]), np.uint8)
-
-
 def _read_blocks(data: bytes, at: int) -> tuple[bytes, int]:
     parts = []
     while True:
@@ -224,13 +226,18 @@ def _read_blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 def decode(data: bytes) -> list[Frame]:
     """All frames of a GIF, composed."""
+    return [replace(f, canvas=f.canvas.copy()) for f in composed(data)]
+
+
+def composed(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF one by one."""
     try:
-        return _decode(data)
+        yield from _composed(data)
     except (IndexError, struct.error) as e:
         raise ValueError("the GIF is cut short or damaged") from e
 
 
-def _decode(data: bytes) -> list[Frame]:
+def _composed(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -240,12 +247,12 @@ def _decode(data: bytes) -> list[Frame]:
         shared = np.frombuffer(data, np.uint8, n * 3, at).reshape(n, 3)
         at += n * 3
     canvas = np.zeros((height, width, 4), np.uint8)
-    out, clock = [], 0
+    clock = 0
     disposal, transparent, delay = 0, -1, 0
     while at < len(data):
         kind = data[at]
         if kind == 0x3B:
-            return out
+            return
         if kind == 0x21:
             label, (body, at) = data[at + 1], _read_blocks(data, at + 2)
             if label == 0xF9 and len(body) >= 4:
@@ -267,10 +274,7 @@ def _decode(data: bytes) -> list[Frame]:
         if not 1 <= bits <= 8:
             raise ValueError("a code size out of range")
         stream, at = _read_blocks(data, at + 1)
-        samples = _literals(np.frombuffer(stream, np.uint8), w * h) if bits == 8 and stream else None
-        if samples is None:
-            samples = _unlzw(stream, bits, w * h)
-        samples = samples.reshape(h, w)
+        samples = _unlzw(stream, bits, w * h).reshape(h, w)
         if flags & 0x40:  # rows are stored in four passes
             rows = np.concatenate([np.arange(a, h, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
             whole = np.empty_like(samples)
@@ -288,7 +292,7 @@ def _decode(data: bytes) -> list[Frame]:
             area[seen, :3], area[seen, 3] = rgb[seen], 255
         else:
             area[..., :3], area[..., 3] = rgb, 255
-        out.append(Frame(clock, delay * 10, left, top, samples, palette, canvas.copy()))
+        yield Frame(clock, delay * 10, left, top, samples, palette, canvas)
         clock += delay * 10
         if disposal == 2:
             area[...] = 0
@@ -316,19 +320,26 @@ def _encode(batches):
     for batch in batches:
         data, off = text_buffer(batch.column("text"))
         raw = data.tobytes()
-        media = [encode(payload_of(raw[a:b]), compress=True) for a, b in zip(off[:-1], off[1:], strict=True)]
+        media = [encode(payload_of(raw[a:b])) for a, b in zip(off[:-1], off[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
+def features(media: bytes) -> tuple[int, str, int, int, str, str]:
+    """payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature
+    (frames : milliseconds : colour histogram over all frames) of a GIF of ``encode``."""
+    sha, size, tail, hist, count, until = hashlib.sha256(), 0, b"", np.zeros(64, np.int64), 0, 0
+    for f in composed(media):
+        own = f.palette[:, 0][f.samples].tobytes()
+        sha.update(own)
+        size, tail = size + len(own), (tail + own[-WIDTH:])[-WIDTH:]
+        hist += histogram(f.canvas)
+        count, until = count + 1, f.start_ms + f.duration_ms
+    return size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), f"{count}:{until}:" + ",".join(f"{i}={n}" for i, n in enumerate(hist) if n)
+
+
 def _features(batches):
     for batch in batches:
-        rows = []
-        for media in batch.column("media"):
-            media = media.as_buffer().to_pybytes()
-            shown = decode(media)
-            payload = b"".join(f.palette[f.samples, 0].tobytes() for f in shown)
-            hist = sum(histogram(f.canvas) for f in shown)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(shown)}:{shown[-1].start_ms + shown[-1].duration_ms}:" + ",".join(f"{i}={n}" for i, n in enumerate(hist) if n)))
+        rows = [features(media.as_buffer().to_pybytes()) for media in batch.column("media")]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -348,21 +359,23 @@ def gif_features(media: DataFrame) -> DataFrame:
 
 def _frames(batches):
     schema = pa.schema([("id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("duration_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
+    one = lambda row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
     for batch in batches:
         for key, media in zip(batch.column("id").to_pylist(), batch.column("media"), strict=True):
             try:
-                rows = [(key, k, f.start_ms, f.duration_ms, f.canvas.shape[1], f.canvas.shape[0], f.canvas.tobytes(), histogram(f.canvas).tolist(), None) for k, f in enumerate(decode(media.as_buffer().to_pybytes() if media.is_valid else b""))]
+                for k, f in enumerate(composed(media.as_buffer().to_pybytes() if media.is_valid else b"")):
+                    yield one((key, k, f.start_ms, f.duration_ms, f.canvas.shape[1], f.canvas.shape[0], f.canvas.tobytes(), histogram(f.canvas).tolist(), None))
             except ValueError as e:
-                rows = [(key, None, None, None, None, None, None, None, str(e))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
+                yield one((key, None, None, None, None, None, None, None, str(e)))
 
 
 def frames(media: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
-    """One row per frame of each GIF: its time, size, pixels and colour histogram."""
+    """One row per frame of each GIF: its time, size, pixels and colour histogram.  A GIF
+    that is damaged has a row with the error after those of its whole frames."""
     bound_arrow(media.sparkSession)
     return media.select(F.col(id_column).cast("long").alias("id"), F.col(media_column).alias("media")).mapInArrow(_frames, "id long, frame int, start_ms long, duration_ms long, width int, height int, rgba binary, histogram array<long>, error string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every text as a GIF, and the features of the bytes read back."""
-    return gif_features(to_gif(table(spark, sf_dir, "documents")))
+    return gif_features(written(to_gif(table(spark, sf_dir, "documents")), "media"))
