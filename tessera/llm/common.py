@@ -140,6 +140,17 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(out)
 
 
+def counted(data: np.ndarray, flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many flagged bytes come before each of the rising places ``at``."""
+    out, before = np.empty(len(at), np.int64), 0
+    for lo in range(0, len(data) + 1, _PIECE):
+        i, j = np.searchsorted(at, [lo, lo + _PIECE])
+        sums = np.concatenate([[0], np.cumsum(flags[data[lo : lo + _PIECE]], dtype=np.int64)])
+        out[i:j] = before + sums[at[i:j] - lo]
+        before += int(sums[-1])
+    return out
+
+
 def pieces(off: np.ndarray, most: int = 4 << 20):
     """Ranges of texts of about ``most`` bytes; a longer text is a range of its own."""
     i, n = 0, len(off) - 1

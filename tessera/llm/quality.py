@@ -12,7 +12,7 @@ statistics are written to the shared folder.  Labels, lang, source and doc_id
 are never inputs of a score.
 
 Edge cases: null and empty texts have all statistics 0 and get that text's
-score; null labels are not used; labels repeating a doc_id count by their
+score; a very long text takes some 100 bytes of memory a word; null labels are not used; labels repeating a doc_id count by their
 smallest; without labels of both kinds every row scores 1 if all known labels are
 1 and 0 otherwise; repeated rows score alike; extra columns are ignored.
 """
@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, bound_arrow, hash_runs, list_array, pieces, spans, table, text_buffer, written
+from tessera.llm.common import SPACE, bound_arrow, counted, hash_runs, list_array, pieces, spans, table, text_buffer, written
 from tessera.llm.toxicity import held_out
 
 FEATURES, RIDGE, BINS = 128, 1e-3, 2048
 
 _CLASSES = ["space", "newline", "upper", "lower", "digit", "bang", "bar", "symbol", "stop", "other", "high"]
-_CLASS = np.full(256, _CLASSES.index("other"), np.int64)
+_CLASS = np.full(256, _CLASSES.index("other"), np.int32)
 for _name, _members in (("space", b" \t\v\f\r"), ("newline", b"\n"), ("upper", bytes(range(65, 91))), ("lower", bytes(range(97, 123))), ("digit", b"0123456789"), ("bang", b"!?"), ("bar", b"|"), ("symbol", b"%*$#&@^~+=<>_/\\{}[]"), ("stop", b".,;:'\"()-"), ("high", bytes(range(128, 256)))):
     _CLASS[list(_members)] = _CLASSES.index(_name)
 _NEWLINE = np.zeros(256, bool)
@@ -44,6 +44,7 @@ _UPPER[65:91] = 1
 _ODD = np.zeros(256, bool)
 _ODD[list(b"!|%*$#&@^~+=<>_/\\{}[]")] = True
 DIM = len(_CLASSES) + 12
+_AT_ONCE = 1 << 20
 
 
 def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -53,7 +54,13 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     if not len(data):
         return out
     sizes = np.diff(off)
-    counts = np.bincount(np.repeat(np.arange(n) * len(_CLASSES), sizes) + _CLASS[data], minlength=n * len(_CLASSES)).reshape(n, -1)
+    counts = np.zeros((n, len(_CLASSES)), np.int64)
+    for lo in range(0, len(data), _AT_ONCE):  # a part of the texts at once, or a part of one
+        hi = min(len(data), lo + _AT_ONCE)
+        i, j = int(np.searchsorted(off, lo, "right")) - 1, int(np.searchsorted(off, hi))
+        held = np.diff(np.clip(off[i : j + 1], lo, hi))
+        at = np.repeat(np.arange(j - i, dtype=np.int32) * len(_CLASSES), held) + _CLASS[data[lo:hi]]
+        counts[i:j] += np.bincount(at, minlength=(j - i) * len(_CLASSES)).reshape(j - i, -1)
     out[:, : len(_CLASSES)] = counts / np.maximum(sizes, 1)[:, None]
     starts, ends, first = spans(data, off, SPACE)
     words = np.diff(first)
@@ -66,8 +73,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         return sums[first[1:]] - sums[at]
 
     def within(flags):
-        sums = np.concatenate([[0], np.cumsum(flags[data], dtype=np.int64)])
-        return sums[ends] - sums[starts]
+        return counted(data, flags, ends) - counted(data, flags, starts)
 
     mean = per_text(lengths) / per
     letters, upper = within(_LETTER), within(_UPPER)
