@@ -10,29 +10,35 @@ accident, and what passes is confirmed on the full shingle sets.
 
 No pair explosion.  In each bucket every member meets one centre only, the member
 that meets most others over all its buckets; of the centres it meets, a member is
-paired with the most similar one, and the confirmed pairs form components.  Then, in each bucket that still holds several
-components, every member outside the bucket's largest component is compared with
-all members of other components, in blocks of bounded size whose pairs are
-estimated in numpy and leave the block only when the estimate allows a link.  The
-members of such buckets get a packed signature of 4,096 bits for it, from a second
+paired with the most similar one, and the confirmed pairs form components.  Then, in each
+bucket that still holds several components, members of different components are compared.
+Sets that link differ in size by a factor of 1 / limit at most, so a bucket is first cut by
+levels of set size, each of which meets itself and the next only.  What is still larger than
+``SPLIT`` isn't compared as it stands: its members get 200 keys of 12 further minima each, and
+those that share one are compared, by level again.  Comparing is done in blocks of bounded
+size, whose pairs are estimated in numpy and leave the block only when the estimate allows a
+link.  The members of such buckets get a packed signature of 4,096 bits for it, from a second
 reading of their texts: a group may hold a great many pairs just below the limit,
-and the longer signature tells them apart.  So each candidate pair is either inside one component, where its link would change
-nothing, or is compared: no cap.
+and the longer signature tells them apart.  So each candidate pair is either inside one
+component, where its link would change nothing, or is compared: no cap.
 
 At a Jaccard similarity of 0.8 a pair shares no band with probability 4e-7, and
 an estimate 4.7 standard deviations low (below 0.712, or 0.756 of the longer
-signature) drops one in 8e5.
+signature) drops one in 8e5; a pair of a bucket above ``SPLIT`` shares none of the 200 keys
+with probability 7e-7.
 
 Edge cases: null, empty or blank texts have empty sets and link with nothing;
 fewer words than a shingle are one shingle; rows with equal sets (repeated rows
 too) are one class; rows that repeat an id with different sets follow their own
-sets; a null id keeps its row, which takes the component of the rows with an equal
+sets; a very long text takes some 40 bytes of memory a word; a null id keeps its row, which takes the component of the rows with an equal
 set that have an id, and stands alone (null, kept) if there are none.  Extra columns pass through
 ``drop_near_duplicates`` and are ignored by ``near_duplicates``.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +51,12 @@ BANDS, ROWS = 28, 4
 SIGNED = 1024
 WORDS = SIGNED // 64
 LONG = 4096
-BLOCK = 1024
+LONG_BANDS, LONG_ROWS = 200, 12
+BLOCK, SPLIT = 1024, 8192
 #: How far below the limit an estimate may lie: 4.7 standard deviations at 0.8.
 MARGIN, LONG_MARGIN = 0.088, 0.0441
+#: Of the first 1,024 bits of the longer one, which are looked at first: 5.6 of them.
+FIRST_MARGIN = 0.105
 
 _rng = np.random.default_rng(917)
 _A = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,24 +171,49 @@ def _long_signatures(n: int):
     return run
 
 
-def _passing(least: float):
+def _long_bands(n: int):
+    """(node, keys) of each text that has shingles: keys of LONG_ROWS of the longer
+    signature's minima each."""
+    used = LONG_BANDS * LONG_ROWS
+
+    def run(batch):
+        data, off = text_buffer(batch.column("text"))
+        for i, j in pieces(off):
+            sets = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
+            sizes = np.array([len(s) for s in sets])
+            full = np.flatnonzero(sizes)
+            if len(full):
+                values = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+                least = minima(values, sizes[full], _A32_LONG[:used], _B32_LONG[:used]).reshape(-1, LONG_BANDS, LONG_ROWS).astype(np.uint64)
+                keys = mix((least * _C[:LONG_ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(LONG_BANDS, dtype=np.uint64) * _C[41])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i).take(pa.array(full)), list_array(keys.ravel().view(np.int64), np.full(len(full), LONG_BANDS), pa.int64())], ["node", "keys"])
+
+    return run
+
+
+def _passing(limit: float):
     """In a block: the pairs of its rest side and its other side, of different
-    components, whose estimate reaches ``least``.  A pair that shares several bands
-    leaves the bucket of the first only, and a pair of two rest members one block."""
+    components, whose estimate allows a similarity of ``limit``.  Two visitors meet in their
+    own level.  A pair that shares several bands leaves the bucket of the first only, and a
+    pair of two rest members one block."""
     a_b = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    first, least = max(0.0, limit - FIRST_MARGIN), max(0.0, limit - LONG_MARGIN)
 
     def run(block: pa.Table) -> pa.Table:
         key = block.column("key")[0].as_py()
-        side, main = block.column("rest").to_numpy(), block.column("main").to_numpy()
+        side, main, visitor = (block.column(c).to_numpy() for c in ("rest", "main", "visitor"))
         node, part = block.column("node").to_numpy(), block.column("part").to_numpy()
         sig = block.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
         bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         x, y = np.flatnonzero(side), np.flatnonzero(~side)
+        start = np.ascontiguousarray(sig[y, :WORDS])
         found = [np.zeros((2, 0), np.int64)]
         for i in x:
-            good = y[(part[y] != part[i]) & (main[y] | (node[y] < node[i]))]
+            at = np.flatnonzero((part[y] != part[i]) & (main[y] | (node[y] < node[i])) & ~(visitor[y] & visitor[i]))
+            good = y[at[estimate(sig[i, :WORDS], start[at]) >= first]]
             good = good[estimate(sig[i], sig[good]) >= least]
-            good = good[bands[i, (bands[good] == bands[i]).argmax(axis=1)] == key >> 32]
+            shared = bands[good] == bands[i]
+            good = good[~shared.any(axis=1) | (bands[i, shared.argmax(axis=1)] == key >> 32) | ~(bands[i] == key >> 32).any()]
             found.append(np.stack([np.maximum(node[i], node[good]), np.minimum(node[i], node[good])]))
         pairs = np.concatenate(found, axis=1)
         return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=a_b)
@@ -187,6 +221,31 @@ def _passing(least: float):
     return run
 
 
+def _open_levels(member: DataFrame) -> DataFrame:
+    """Of members (key, node, part, level) those of keys with several parts, at home in their
+    level and visiting the one below, with the number that meet there."""
+    inside = member.groupBy("key", "part").agg(F.count("*").alias("n"))
+    open_keys = inside.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("most")).where("parts > 1")
+    found = member.join(open_keys.select("key", "most"), "key").withColumn("main", F.col("part") == F.col("most")).drop("most")
+    every = found.withColumn("visitor", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("level", F.col("level") - F.col("visitor").cast("int"))
+    count = lambda what: F.sum(what.cast("long"))
+    sizes = every.groupBy("key", "level").agg(F.count("*").alias("size"), count(~F.col("visitor")).alias("homes"), count(~F.col("main")).alias("others")).where("homes > 0 and others > 0 and size > 1")
+    return every.join(sizes.select("key", "level", "size"), ["key", "level"])
+
+
+def _compared(placed: DataFrame, longer: DataFrame, limit: float) -> DataFrame:
+    """The pairs (a, b) of members that meet in a level of a key and may link; longer: (node,
+    sig, bands)."""
+    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
+    chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    every = F.sequence(F.lit(0), chunks - 1)
+    of = ["key", "level", "node", "part", "main", "visitor"]
+    rest = placed.where("not main").select(*of, F.lit(True).alias("rest"), chunk.alias("i"), F.explode(every).alias("j"))
+    other = placed.select(*of, F.lit(False).alias("rest"), F.explode(every).alias("i"), chunk.alias("j"))
+    blocks = rest.unionAll(other).join(longer, "node")
+    return blocks.groupBy("key", "level", "i", "j").applyInArrow(_passing(limit), "a long, b long")
+
+
 BLOOM_BITS = 27
 
 
@@ -241,7 +300,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     bound_arrow(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = written(texts.mapInArrow(_sign(shingle), _SIGNED), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = written(classes.where("node is not null"), "classes")
     every_band = classes.select("node", F.explode("bands").alias("key"))
     crowded = every_band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -261,21 +320,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     source = texts.where("doc_id is not null")
     links = written(_confirmed(written(stars, "stars"), source, shingle, percent), "links")
     parts = written(components(links), "parts")
-    # then: in buckets of several components, all pairs across components
-    member = buckets.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    inside = member.groupBy("key", "part").agg(F.count("*").alias("n"))
-    open_keys = inside.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max_by("part", F.struct("n", "part")).alias("most")).where("parts > 1")
-    found = written(member.join(open_keys.select("key", "size", "most"), "key").withColumn("main", F.col("part") == F.col("most")), "open")
-    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-    chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    every = F.sequence(F.lit(0), chunks - 1)
-    rest = found.where("not main").select("key", "node", "part", "main", F.lit(True).alias("rest"), chunk.alias("i"), F.explode(every).alias("j"))
-    other = found.select("key", "node", "part", "main", F.lit(False).alias("rest"), F.explode(every).alias("i"), chunk.alias("j"))
+    # then: in buckets of several components, pairs across components
+    limit = percent / 100
+    level = F.floor(F.log("n_shingles") / math.log(1 / min(limit, 0.999)) + 1e-9) if limit > 0 else F.lit(0)
+    known = classes.select("node", level.cast("long").alias("level")).join(parts, "node", "left").select("node", "level", F.coalesce("component", "node").alias("part"))
+    placed = written(_open_levels(buckets.select("key", "node").join(known, "node")), "open")
+    open_nodes = written(placed.select("node").distinct(), "open-nodes")
     half = F.transform("bands", lambda k: F.shiftright(k, 32).cast("int"))
-    open_nodes = written(found.select("node").distinct(), "open-nodes")
-    longer = written(_of_texts(open_nodes, source, _long_signatures(shingle), "node long, sig array<long>"), "longer")
-    blocks = rest.unionAll(other).join(longer.join(classes.select("node", half.alias("bands")), "node"), "node")
-    across = blocks.groupBy("key", "i", "j").applyInArrow(_passing(max(0.0, percent / 100 - LONG_MARGIN)), "a long, b long").distinct()
+    longer = written(_of_texts(open_nodes, source, _long_signatures(shingle), "node long, sig array<long>"), "longer").join(classes.select("node", half.alias("bands")), "node")
+    across = _compared(placed.where(F.col("size") <= SPLIT), longer, limit)
+    crowd = written(placed.where(F.col("size") > SPLIT).select("node").distinct(), "crowd")
+    if not crowd.isEmpty():
+        keys = written(_of_texts(crowd, source, _long_bands(shingle), "node long, keys array<long>").select("node", F.explode("keys").alias("key")), "keys")
+        shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        again = written(_open_levels(keys.join(shared, "key").distinct().join(known, "node")), "open-again")
+        across = across.unionAll(_compared(again, longer, limit))
+    across = across.distinct()
     more = _confirmed(written(across, "across"), source, shingle, percent)
     parts = components(links.unionAll(more))
     # rows of a class take its component
