@@ -11,18 +11,21 @@ the base depth go on to the next depth; nothing else is touched again.
 Edge cases: null texts have 0 bytes; a null id hashes as a value of its own; an
 empty table gives no shards; a single document above the limit cannot be split
 and stands alone in a shard marked oversize.  Rows that share all hashed bits
-(repeats of one id) cannot be parted by hash: past the last bit they are cut by
-their running bytes, and the shard's name gets a number after a point.
+(repeats of one id, null ids) cannot be parted by hash: past the last bit they are cut by
+their running bytes, and the shard's name gets a number after a point.  That cut works on
+range partitions, so no task holds all rows of an id.  Extra columns are ignored by
+``shards`` and kept by ``write_shards``, which writes every row once.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import fresh, table, written
+from tessera.operators.vectors import running
 
 #: Bits of the hash that can be used; they fit a positive long.
 DEPTH = 60
@@ -34,55 +37,81 @@ def _hashed(key):
     return F.conv(F.substring(digest, 1, DEPTH // 4), 16, 10).cast("long")
 
 
-def shards(docs: DataFrame, limit: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, shard, depth, shard_bytes, oversize) of each row of docs.
-    ``shard`` is the bucket's bits as a string ("" is the root)."""
-    rows = written(docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long").alias("n_bytes"), _hashed(F.col(id_column)).alias("h")), "hashed")
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+_H, _N = "__h", "__n_bytes"
+
+
+def directory(rows: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
+    """From rows (__h, __n_bytes): for each depth that was needed, which prefix of that
+    depth (leaf) belongs to which bucket (depth, bucket, bucket_bytes; null: go on to the
+    next depth)."""
+    total = rows.agg(F.sum(_N)).first()[0] or 0
     depth = min(DEPTH, math.ceil(math.log2(max(1, total / limit))) + STEP)
     least, found, rest = 0, [], rows
     while True:
-        leaves = written(rest.groupBy(F.shiftright("h", DEPTH - depth).alias("leaf")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")), "leaves")
+        leaves = written(rest.groupBy(F.shiftright(_H, DEPTH - depth).alias("leaf")).agg(F.sum(_N).alias("bytes"), F.count("*").alias("n")), "leaves")
         ups = leaves.select("leaf", "bytes", "n", F.explode(F.sequence(F.lit(least), F.lit(depth))).alias("depth")).withColumn("bucket", F.expr(f"leaf >> ({depth} - depth)"))
         sums = ups.groupBy("depth", "bucket").agg(F.sum("bytes").alias("bucket_bytes"), F.sum("n").alias("bucket_n"))
         fits = (F.col("bucket_bytes") <= limit) | (F.col("bucket_n") == 1)
-        named = ups.join(sums.where(fits), ["depth", "bucket"]).groupBy("leaf").agg(F.min(F.struct("depth", "bucket", "bucket_bytes", "bucket_n")).alias("at"))
-        directory = written(leaves.select("leaf").join(named, "leaf", "left").select("leaf", "at.*"), "directory")
-        with_leaf = rest.withColumn("leaf", F.shiftright("h", DEPTH - depth)).join(directory, "leaf")
-        bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(bucket), depth, '0')"))
-        found.append(with_leaf.where("depth is not null").select("doc_id", "n_bytes", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), F.col("bucket_bytes").alias("shard_bytes"), (F.col("bucket_bytes") > limit).alias("oversize")))
-        if directory.where("depth is null").isEmpty():
-            break
-        rest = written(with_leaf.where("depth is null").select("doc_id", "n_bytes", "h"), "oversized")
-        if depth == DEPTH:
-            found.append(_cut(rest, limit))
-            break
+        named = ups.join(sums.where(fits), ["depth", "bucket"]).groupBy("leaf").agg(F.min(F.struct("depth", "bucket", "bucket_bytes")).alias("__at"))
+        found.append((depth, written(leaves.select("leaf").join(named, "leaf", "left").select(F.col("leaf").alias("__leaf"), "__at"), "directory")))
+        here = found[-1][1]
+        if depth == DEPTH or here.where("__at is null").isEmpty():
+            return found
+        rest = written(rest.withColumn("__leaf", F.shiftright(_H, DEPTH - depth)).join(here.where("__at is null"), "__leaf").select(_H, _N), "oversized")
         least, depth = depth + 1, min(DEPTH, depth + STEP)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
-    return out
+
+
+def _assigned(rows: DataFrame, levels: list[tuple[int, DataFrame]], limit: int) -> DataFrame:
+    """rows (__h, __n_bytes and others) with __shard (bits), __depth and __bytes (of the shard)."""
+    out, rest = None, rows
+    for depth, here in levels:
+        seen = rest.withColumn("__leaf", F.shiftright(_H, DEPTH - depth)).join(here, "__leaf").drop("__leaf")
+        bits = F.when(F.col("__at.depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(__at.bucket), __at.depth, '0')"))
+        own = seen.where("__at is not null").select(*rows.columns, bits.alias("__shard"), F.col("__at.depth").cast("int").alias("__depth"), F.col("__at.bucket_bytes").alias("__bytes"))
+        out = own if out is None else out.unionAll(own)
+        rest = seen.where("__at is null").select(*rows.columns)
+    depth, here = levels[-1]
+    if depth < DEPTH or here.where("__at is null").isEmpty():
+        return out
+    return out.unionAll(_cut(rest, limit))
 
 
 def _cut(rest: DataFrame, limit: int) -> DataFrame:
-    """Rows with one hash, cut by running bytes into runs within the limit (each
-    run starts where the running sum passes a multiple of half the limit)."""
-    run = Window.partitionBy("h").orderBy("n_bytes", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Rows with equal hashes, cut by running bytes into runs within the limit (each run
+    begins where the running sum passes a multiple of half the limit); a row above half
+    the limit is a run of its own."""
     half = max(1, limit // 2)
-    big = F.col("n_bytes") > half
-    ordinal = F.sum(F.when(big, 1).otherwise(0)).over(run)
-    part = F.when(big, F.concat(F.lit("b"), ordinal.cast("string"))).otherwise(F.floor((F.sum(F.when(big, 0).otherwise(F.col("n_bytes"))).over(run) - F.col("n_bytes")) / half).cast("string"))
-    cut = rest.withColumn("shard", F.concat(F.lpad(F.bin("h"), DEPTH, "0"), F.lit("."), part))
-    summed = cut.withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("shard")))
-    return summed.select("doc_id", "n_bytes", "shard", F.lit(DEPTH).alias("depth"), "shard_bytes", (F.col("shard_bytes") > limit).alias("oversize"))
-
-
-def write_shards(docs: DataFrame, path: str, limit: int = 1 << 20) -> None:
-    """Write docs as Parquet with one folder per shard; all columns stay.  Ids must
-    be unique here, or a row would land in each shard of its id."""
-    named = shards(docs, limit).select(F.col("doc_id").alias("__id"), "shard")
-    joined = docs.join(named, docs["doc_id"].eqNullSafe(named["__id"])).drop("__id").withColumn("shard", F.concat(F.lit("s"), "shard"))
-    joined.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    # equal rows need something to be told apart by, or they would meet in one range
+    rest = written(rest.withColumn("__row", F.monotonically_increasing_id()), "one-hash")
+    order = [_N, "__row"]
+    big = running(rest.where(F.col(_N) > half).withColumn("__one", F.lit(1)), order, "__one", "count", "__k", by=[_H]).drop("__one").withColumn("__run", F.concat(F.lit("b"), F.col("__k").cast("string")))
+    small = running(rest.where(F.col(_N) <= half), order, _N, "sum", "__k", by=[_H]).withColumn("__run", F.floor((F.col("__k") - F.col(_N)) / half).cast("string"))
+    cut = big.unionByName(small).withColumn("__shard", F.concat(F.lpad(F.bin(_H), DEPTH, "0"), F.lit("."), "__run")).drop("__k", "__run", "__row")
+    sums = written(cut.groupBy(F.col("__shard").alias("__of")).agg(F.sum(_N).alias("__bytes")), "runs")
+    columns = [c for c in rest.columns if c != "__row"]
+    return cut.join(sums, F.col("__shard") == F.col("__of")).select(*columns, "__shard", F.lit(DEPTH).alias("__depth"), "__bytes")
+
+
+def _sized(docs: DataFrame, id_column: str, text_column: str):
+    return F.coalesce(F.octet_length(docs[text_column]), F.lit(0)).cast("long").alias(_N), _hashed(docs[id_column]).alias(_H)
+
+
+def shards(docs: DataFrame, limit: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, shard, depth, shard_bytes, oversize) of each row of docs.
+    ``shard`` is the bucket's bits as a string ("" is the root)."""
+    rows = written(docs.select(docs[id_column].alias("doc_id"), *_sized(docs, id_column, text_column)), "hashed")
+    named = _assigned(rows, directory(rows, limit), limit)
+    return named.select("doc_id", F.col(_N).alias("n_bytes"), F.col("__shard").alias("shard"), F.col("__depth").alias("depth"), F.col("__bytes").alias("shard_bytes"), (F.col("__bytes") > limit).alias("oversize"))
+
+
+def write_shards(docs: DataFrame, path: str, limit: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text") -> None:
+    """Write docs as Parquet with one folder per shard (shard=s followed by its bits);
+    every row is written once, with all its columns."""
+    rows = written(docs.select(*_sized(docs, id_column, text_column)), "hashed")
+    named = _assigned(docs.select(*docs.columns, *_sized(docs, id_column, text_column)), directory(rows, limit), limit)
+    folder = fresh(docs, "shard")
+    out = named.select(*docs.columns, F.concat(F.lit("s"), "__shard").alias(folder))
+    out.repartition(folder).write.mode("overwrite").partitionBy(folder).parquet(path)
 
 
 LIMIT = 1 << 20
