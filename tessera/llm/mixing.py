@@ -6,7 +6,8 @@ weight (water-filling).  A source's repetition rate is its target over its size;
 a document is taken floor(rate) times, and once more if a uniform number hashed
 from its id and the seed is below the rate's fraction.
 
-The only table that meets in one task has one row per source.  Documents are
+The only table that meets in one task has one row per source, some 50 bytes each: a source
+is a corpus here, and ten million of them still fit a task, which sorts and spills.  Documents are
 reduced to four narrow columns before they are dealt by source, the sums are
 pre-aggregated, and a hot source is a skewed join that AQE can split.
 

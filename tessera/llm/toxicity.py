@@ -5,10 +5,11 @@ rows: of the whole term and of its first four and five bytes, so an unseen form
 of a known stem still has most of its meaning.  Filters of widths 1, 2 and 3 run
 over the terms of the whole text; their largest responses make the logit.
 
-Fitting.  A bounded sample of labelled rows (``fit_rows``, in hash order, texts
-of at most ``fit_words`` terms; both are parameters) is turned to term ids on the
-executors and trained on at the driver, less one fifth.  Rows start from smoothed
-log-odds of their term.
+Fitting.  A bounded sample of labelled rows is turned to term ids on the executors and
+trained on at the driver, less one fifth: in a total order by hash, at most ``fit_rows``
+rows whose ids take ``fit_bytes`` at most (12 bytes a term; both are parameters; a row that
+alone takes a sixteenth of that, 500,000 terms, is passed over).  Rows are fetched one
+partition at a time.  Rows start from smoothed log-odds of their term.
 
 Calibration.  All labelled rows that are neither held out nor learnt from, long
 texts too, are scored on the executors and counted in a histogram of fixed size,
@@ -48,6 +49,7 @@ DIM, FILTERS, WIDTHS = 8, 6, (1, 2, 3)
 TAIL = max(WIDTHS) - 1
 #: Bins of the calibration's histogram, over logits from -SPAN to SPAN.
 BINS, SPAN = 4096, 32
+FIT_BYTES = 96 << 20
 
 #: Function words by language; a text is of the language with the most of them.
 LANGUAGES = {
@@ -252,15 +254,28 @@ def _known(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
 
 
-def _weights(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_words: int) -> tuple[Model | None, list]:
-    """A model without thresholds, and the doc_ids it has learnt from."""
+def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_bytes: int) -> list[tuple]:
+    """(y, fold, ids, doc_id) of the rows to learn from, within both bounds."""
     bound_arrow(docs.sparkSession)
     sample = _known(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)).cast("int"))
     # fit_rows bounds what is broadcast
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "fold", "text")
     schema = rows.select("doc_id", "y", "fold", F.col("text").cast("binary").alias("ids")).schema
-    got = rows.mapInArrow(_ids, schema).where(F.length("ids") <= 12 * fit_words).limit(fit_rows).collect()
-    got = sorted(((r.y, r.fold, bytes(r.ids), r.doc_id) for r in got), key=lambda r: (r[1], r[0], len(r[2]), r[2]))
+    # ids that repeat with other texts give more rows than fit_rows: the order tells them apart
+    ids = written(rows.mapInArrow(_ids, schema).where(F.length("ids") <= fit_bytes // 16), "learn")
+    got, used = [], 0
+    for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("ids"), "ids").toLocalIterator():
+        if len(got) == fit_rows:
+            break
+        if used + len(r.ids) <= fit_bytes:
+            used += len(r.ids)
+            got.append((r.y, r.fold, bytes(r.ids), r.doc_id))
+    return sorted(got, key=lambda r: (r[1], r[0], len(r[2]), r[2]))
+
+
+def _weights(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_bytes: int) -> tuple[Model | None, list]:
+    """A model without thresholds, and the doc_ids it has learnt from."""
+    got = _sample(docs, labels, fit_rows, fit_bytes)
     y = np.array([r[0] for r in got])
     if not len(y) or y.min() == y.max():
         return None, []
@@ -282,10 +297,10 @@ def _calibrate(model: Model, logits: DataFrame, labels: DataFrame, learnt: list)
     model.thresholds = thresholds(np.array([tuple(r) for r in bins], float))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_words: int = 50_000) -> Model | None:
-    """fit_rows and fit_words bound what the weights are learnt from; thresholds are
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_bytes: int = FIT_BYTES) -> Model | None:
+    """fit_rows and fit_bytes bound what the weights are learnt from; thresholds are
     set from all labelled rows that are not held out."""
-    model, learnt = _weights(docs, labels, fit_rows, fit_words)
+    model, learnt = _weights(docs, labels, fit_rows, fit_bytes)
     if model is not None:
         _calibrate(model, text_logits(docs, model), labels, learnt)
     return model
@@ -354,9 +369,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFr
     return with_score(docs, model, name).where(F.col(name) < least).drop(name)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_words: int = 50_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """(doc_id, score) of each row of docs: ``fit`` and ``score`` with one scoring pass."""
-    model, learnt = _weights(docs, labels, fit_rows, fit_words)
+    model, learnt = _weights(docs, labels, fit_rows, fit_bytes)
     if model is None:
         return score(docs, model)
     logits = written(text_logits(docs, model), "logits")

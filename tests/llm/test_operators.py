@@ -189,7 +189,7 @@ def test_toxicity_thresholds_come_from_all_labelled_rows(spark):
         rows.append((i, " ".join(words)))
         labels.append((i, toxic))
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    model, learnt = toxicity._weights(docs, known, 200, 50_000)
+    model, learnt = toxicity._weights(docs, known, 200, toxicity.FIT_BYTES)
     fitted = toxicity.fit(docs, known, fit_rows=200)
     assert len(learnt) < 200
     got = {r.doc_id: r for r in toxicity.text_logits(docs, model).collect()}
@@ -215,7 +215,21 @@ def _sets(texts, n):
     return out
 
 
-def test_near_duplicates_equal_brute_force(spark):
+def _least(texts, n=4, percent=80):
+    """The sets of the texts, and the smallest index that each reaches by links."""
+    sets = _sets(texts, n)
+    least = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) * 100 >= percent * max(len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            lo, hi = sorted((least[a], least[b]))
+            least = [lo if x == hi else x for x in least]
+    return sets, least
+
+
+@pytest.mark.parametrize(("split", "block"), [(8192, 1024), (10, 7)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, split, block):
+    monkeypatch.setattr(minhash, "SPLIT", split)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = np.random.default_rng(8)
     base = [[f"w{x}" for x in rng.integers(0, 400, n)] for n in (30, 60, 12, 5)]
     texts = [None, "", "A b", "a B"]
@@ -224,18 +238,32 @@ def test_near_duplicates_equal_brute_force(spark):
         for _ in range(rng.integers(0, 6)):
             w[rng.integers(0, len(w))] = f"z{rng.integers(0, 50)}"
         texts.append(" ".join(w))
-    sets = _sets(texts, 4)
-    least = list(range(len(texts)))
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        both = len(sets[a] & sets[b])
-        if sets[a] and 100 * both >= 80 * len(sets[a] | sets[b]):
-            lo, hi = sorted((least[a], least[b]))
-            least = [lo if x == hi else x for x in least]
+    sets, least = _least(texts)
     got = {r.doc_id: r for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 80).collect()}
     for i in range(len(texts)):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), least[i], least[i] == i)
 
 
+def test_links_just_above_the_limit_are_found(spark, monkeypatch):
+    """Pairs of 0.80 to 0.82, within one template that makes all buckets crowded and all
+    pairs across it fall below the limit."""
+    monkeypatch.setattr(minhash, "SPLIT", 64)
+    rng = np.random.default_rng(2)
+    template = [f"t{k}" for k in range(60)]
+    texts = []
+    for k in range(150):
+        own = template + [f"d{k}x{x}" for x in range(40)]
+        near = list(own)
+        near[-int(rng.integers(17, 19)) :] = [f"e{k}x{x}" for x in range(30)][: int(rng.integers(0, 4))]
+        texts += [" ".join(own), " ".join(near)]
+    sets = _sets(texts, 4)
+    close = [100 * len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(texts), 2)]
+    assert sum(80 <= c < 82 for c in close) > 30 and sum(c < 80 for c in close) > 30
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 80).collect()}
+    assert [got[i + 1] == i for i in range(0, len(texts), 2)] == [c >= 80 for c in close]
+    assert all(got[i] == i for i in range(0, len(texts), 2))
+
+
 def test_shards_hold_their_limit_and_split_no_further_than_needed(spark, data_dir):
     rows = sharding.shards(table(spark, data_dir, "documents"), 20_000).collect()
     held = Counter()
@@ -252,6 +280,30 @@ def test_shards_hold_their_limit_and_split_no_further_than_needed(spark, data_di
     assert max(cut.values()) <= 2 and sum(cut.values()) == 9
 
 
+def test_shards_of_one_id_are_cut(spark):
+    same = spark.range(0, 1_000_000, 1, 8).select(F.lit(5).cast("long").alias("doc_id"), F.lit("xyz").alias("text"))
+    held = sharding.shards(same, 1 << 18).groupBy("shard", "shard_bytes", "oversize").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b")).collect()
+    assert sum(r.n for r in held) == 1_000_000 and all(r.b == r.shard_bytes <= 1 << 18 and not r.oversize for r in held)
+    rows = [(7, "x" * 400)] * 9 + [(None, "y" * 300)] * 5 + [(8, "z" * 900), (8, "z" * 2000), (9, None)]
+    cut = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), 1000).collect()
+    assert Counter((r.doc_id, r.n_bytes) for r in cut) == Counter((i, len(x or "")) for i, x in rows)
+    held = Counter()
+    for r in cut:
+        held[r.shard] += r.n_bytes
+    assert all(held[r.shard] == r.shard_bytes and r.oversize == (r.shard_bytes > 1000) for r in cut)
+    assert [r.n_bytes for r in cut if r.oversize] == [2000]
+
+
+def test_written_shards_hold_every_row_once(spark, awkward, tmp_path):
+    rows = awkward.unionAll(awkward.where("doc_id = 1")).unionAll(awkward.where("doc_id = 4"))
+    sharding.write_shards(rows, str(tmp_path / "out"), 1000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.columns == [*rows.columns, "shard_"]
+    assert Counter(map(tuple, back.drop("shard_").collect())) == Counter(map(tuple, rows.collect()))
+    named = Counter((r.doc_id, r.shard) for r in sharding.shards(rows, 1000).collect())
+    assert Counter((r.doc_id, r["shard_"][1:]) for r in back.collect()).keys() == named.keys()
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 24))
@@ -324,6 +376,28 @@ def test_packing_keeps_rows_and_budgets(spark, data_dir):
         assert len(b) == 1 or len(b) * b[0].padded_to <= 3000
 
 
+def test_packing_is_the_optimum_of_brute_force(spark):
+    rng = np.random.default_rng(12)
+    for top, n in ((40, 30), (1023, 9)):
+        lengths = sorted(int(x) for x in rng.integers(0, top + 1, n))
+        distinct = sorted(set(lengths))
+        for k in (1, 2, 3):
+            best = min(sum(min(e for e in (*c, distinct[-1]) if e >= x) - x for x in lengths) for c in itertools.combinations(distinct[:-1], min(k, len(distinct)) - 1))
+            docs = spark.createDataFrame([(i, " ".join(["w"] * x)) for i, x in enumerate(lengths)], "doc_id long, text string")
+            rows = packing.packed(docs, k).collect()
+            assert sum(r.padding for r in rows) == best and [r.n_tokens for r in sorted(rows, key=lambda r: r.doc_id)] == lengths
+
+
+def test_rows_to_learn_from_are_bounded_and_the_same_in_any_order(spark):
+    rows = [(i // 2, f"text {i} " * (i % 7 + 1)) for i in range(400)] + [(1000, "a b " * 40_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(1000, 1)], "doc_id long, toxic int")
+    pick = lambda seed, n, b: toxicity._sample(spark.createDataFrame(sorted(rows, key=lambda r: hash((seed, r))), "doc_id long, text string"), labels, n, b)
+    for n, b in ((50, 1 << 20), (6000, 4000), (6000, 1 << 20)):
+        one = pick(1, n, b)
+        assert one == pick(2, n, b) and 0 < len(one) <= n and sum(len(r[2]) for r in one) <= b
+    assert all(r[3] != 1000 for r in one)
+
+
 def test_packing_pads_to_real_lengths(spark):
     lengths = [3, 40, 40, 1500, 1501, 2049, 2050, 30_001, 30_020, 65_536]
     for k in (1, 3, 16):
