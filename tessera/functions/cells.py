@@ -224,6 +224,39 @@ def decoded(e: Column) -> Column:
     return F.transform(e["codes"], lambda c: F.get(e["dictionary"], c))
 
 
+def enum_append(e: Column, x: Column) -> Column:
+    """A coded vector with one item more; a new word goes to the end of the dictionary."""
+    words = F.array_union(e["dictionary"], F.array(x))
+    return F.struct(words.alias("dictionary"), F.array_append(e["codes"], (F.array_position(words, x) - 1).cast("int")).alias("codes"))
+
+
+def enum_amend(e: Column, i: Column | int, x: Column) -> Column:
+    """A coded vector with an item replaced; words that no item has any more stay."""
+    words = F.array_union(e["dictionary"], F.array(x))
+    return F.struct(words.alias("dictionary"), amend(e["codes"], i, (F.array_position(words, x) - 1).cast("int")).alias("codes"))
+
+
+def enum_delete(e: Column, i: Column | int) -> Column:
+    return F.struct(e["dictionary"].alias("dictionary"), delete(e["codes"], i).alias("codes"))
+
+
+def _unflattened(r: Column) -> Column:
+    return ragged(r["offsets"], r["flat"])
+
+
+def ragged_append(r: Column, a: Column) -> Column:
+    """STRUCT(offsets, flat) with one vector more: only the ends are touched."""
+    return F.struct(F.array_append(r["offsets"], F.element_at(r["offsets"], -1) + F.size(a)).alias("offsets"), F.concat(r["flat"], a).alias("flat"))
+
+
+def ragged_amend(r: Column, i: Column | int, a: Column) -> Column:
+    return flattened(amend(_unflattened(r), i, a))
+
+
+def ragged_delete(r: Column, i: Column | int) -> Column:
+    return flattened(delete(_unflattened(r), i))
+
+
 def ragged(offsets: Column, flat: Column) -> Column:
     """A vector of vectors from n + 1 offsets into a flat one."""
     return F.transform(F.slice(offsets, F.lit(1), F.size(offsets) - 1), lambda start, i: F.slice(flat, start + 1, F.get(offsets, i + 1) - start))

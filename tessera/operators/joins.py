@@ -66,12 +66,17 @@ def salted(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int, hot
     return spread.join(copies, [*on, "__salt"]).drop("__salt")
 
 
-def all_pairs(left: DataFrame, right: DataFrame, most_rows: int = 10_000) -> DataFrame:
+def all_pairs(left: DataFrame, right: DataFrame, most_rows: int = 10_000, most_bytes: int = 64 << 20) -> DataFrame:
     """Every row of left with every row of right.  One side must be small, as its
-    count shows; it is broadcast."""
-    n = right.limit(most_rows + 1).count()
-    if n <= most_rows:
+    count and the bytes of its rows show; it is broadcast."""
+
+    def small(df: DataFrame) -> bool:
+        some = df.limit(most_rows + 1)
+        got = some.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).alias("b")).first()
+        return got.n <= most_rows and (got.b or 0) <= most_bytes
+
+    if small(right):
         return left.crossJoin(F.broadcast(right))
-    if left.limit(most_rows + 1).count() <= most_rows:
+    if small(left):
         return F.broadcast(left).crossJoin(right)
-    raise ValueError(f"both sides have more than {most_rows} rows")
+    raise ValueError(f"both sides have more than {most_rows} rows or {most_bytes} bytes")

@@ -91,7 +91,11 @@ class Vec:
         """A vector (for each group) of a table's column, in an order that must be total."""
         v = F.col(value) if isinstance(value, str) else value
         if not by:
-            return Vec(ordinals(df.withColumn("value", v), order).select("pos", "value"))
+            if all(isinstance(o, str) for o in order):  # nothing else is sorted and written
+                df, order = df.select(*[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)], v.alias("value")), [f"__o{i}" for i in range(len(order))]
+            else:
+                df = df.withColumn("value", v)
+            return Vec(ordinals(df, order).select("pos", "value"))
         pos = (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long")
         return Vec(df.select(*by, pos.alias("pos"), v.alias("value")), tuple(by))
 
@@ -245,6 +249,47 @@ class Vec:
         return Vec(df.select(*by, F.posexplode(column).alias("pos", "value")).withColumn("pos", F.col("pos").cast("long")), tuple(by))
 
 
+@dataclass(frozen=True)
+class Ordered:
+    """A table's column in the order of some of its columns, which must be total.  What
+    needs one item or one place is found without giving every row its place."""
+
+    df: DataFrame
+    order: tuple[str, ...]
+
+    #: Places up to here are found by a top-k, later ones by ``ordinals``.
+    NEAR = 100_000
+
+    @staticmethod
+    def of(df: DataFrame, value: str | Column, order: Sequence[str]) -> Ordered:
+        v = F.col(value) if isinstance(value, str) else value
+        return Ordered(df.select(*[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)], v.alias("value")), tuple(f"__o{i}" for i in range(len(order))))
+
+    def vector(self) -> Vec:
+        return Vec(ordinals(self.df, list(self.order)).select("pos", "value"))
+
+    def count(self) -> DataFrame:
+        return self.df.agg(F.count("*").alias("value"))
+
+    def item(self, i: int) -> DataFrame:
+        """The item at a place; no row if there is none."""
+        if i < 0:
+            return self.df.limit(0).select(F.lit(i).cast("long").alias("pos"), "value")
+        if i > self.NEAR:
+            return self.vector().item(i)
+        return self.df.orderBy(*self.order).offset(i).limit(1).select(F.lit(i).cast("long").alias("pos"), "value")
+
+    def last(self) -> DataFrame:
+        return self.df.agg(F.max_by("value", F.struct(*self.order)).alias("value"))
+
+    def find(self, what: Column) -> DataFrame:
+        """The first place of an item, or the length: rows before its first row are counted."""
+        place = F.struct(*self.order)
+        first = self.df.where(F.col("value").eqNullSafe(what)).agg(F.min(place).alias("__first"))
+        before = F.col("__first").isNull() | (place < F.col("__first"))
+        return self.df.crossJoin(F.broadcast(first)).agg(F.count(F.when(before, 1)).alias("value"))  # one row
+
+
 # ------------------------------------------------------------------ chunked vectors
 
 

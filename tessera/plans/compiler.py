@@ -12,7 +12,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +22,9 @@ from tessera.functions import atomic, cells
 from tessera.functions.atomic import Typed
 from tessera.functions.order import grade, match, sort_key
 from tessera.operators import dml
+from tessera.operators.vectors import ordinals, running
 from tessera.plans.parser import parse
+from tessera.sources import drive
 
 #: Aggregates by name.
 AGGREGATES: dict[str, Callable[..., Column]] = {
@@ -29,11 +32,18 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
     "stddev": F.stddev, "variance": F.variance, "median": F.median, "mode": F.mode, "product": F.product, "countdistinct": F.count_distinct,
     "approxdistinct": F.approx_count_distinct, "collect": F.collect_list, "percentile": F.percentile_approx, "any": F.bool_or, "every": F.bool_and,
 }
+#: Functions that stand before over only.
+RANKS: dict[str, Callable[..., Column]] = {
+    "row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank, "percent_rank": F.percent_rank, "cume_dist": F.cume_dist,
+    "ntile": F.ntile, "lag": F.lag, "lead": F.lead, "nth": F.nth_value,
+}
 #: Functions of values by name.
 SCALARS: dict[str, Callable[..., Column]] = {
     "abs": F.abs, "sqrt": F.sqrt, "exp": F.exp, "log": F.log, "sin": F.sin, "cos": F.cos, "tan": F.tan, "floor": F.floor, "ceil": F.ceil,
     "least": F.least, "greatest": F.greatest, "upper": F.upper, "lower": F.lower, "trim": F.trim, "length": F.length, "substring": lambda c, i, n: F.substring(c, i, n),
     "replace": F.replace, "split": F.split, "concat": F.concat, "coalesce": F.coalesce, "year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second,
+    "quarter": F.quarter, "week": F.weekofyear, "weekday": F.dayofweek, "datediff": F.datediff, "addmonths": F.add_months, "date": lambda c: c.cast("date"), "datetime": lambda c: c.cast("timestamp_ntz"),
+    "pow": F.pow, "mod": F.pmod, "sign": F.signum, "cbrt": F.cbrt, "log2": F.log2, "log10": F.log10, "bool": lambda c: c.cast("boolean"), "nullif": F.nullif, "startswith": F.startswith, "endswith": F.endswith, "repeat": F.repeat, "lpad": F.lpad, "rpad": F.rpad,
     "hash": F.xxhash64, "int": lambda c: c.cast("long"), "float": lambda c: c.cast("double"), "string": lambda c: c.cast("string"),
     "reverse": F.reverse, "distinct": F.array_distinct, "size": F.size, "keys": F.map_keys, "values": F.map_values, "enlist": F.array, "flatten": F.flatten, "isnull": F.isnull,
 }
@@ -41,6 +51,8 @@ SCALARS: dict[str, Callable[..., Column]] = {
 LITERALS: dict[str, tuple[int, Callable[..., Column]]] = {
     "round": (1, F.round),
     "truncate": (0, F.date_trunc),
+    "format": (1, F.date_format),
+    "parse": (1, lambda c, form: F.to_timestamp_ntz(c, F.lit(form))),
     "jsonpath": (1, F.get_json_object),
     "tojson": (1, F.from_json),
 }
@@ -139,10 +151,31 @@ class Environment:
             return out
         if kind in ("select", "insert", "update", "upsert", "delete"):
             return getattr(self, f"_{kind}")(*s[1:])
+        if kind == "drive":
+            return self._drive(*s[1:])
         if kind == "name" and isinstance(self.get(s[1]), (DataFrame, Function)):
             return self.get(s[1])
         return self.expression(s)
 
+    def _drive(self, verb: str, name: str, where: tuple):
+        """``name << path`` reads what is stored there and ``<<=`` maps it: tables are read when
+        they are used in both, and values of other kinds at once.  ``>>`` writes a table as one
+        Parquet table and ``>>=`` any value as a directory."""
+        path = self._python(self.expression(where))
+        if not isinstance(path, str):
+            raise KindError("a path is a string")
+        if verb in ("<<", "<<="):
+            got = drive.read(path, self.spark)
+            self.set(name, got if isinstance(got, (DataFrame, dict, list)) else self.typed(F.lit(got)))
+            return self.get(name)
+        value = self.get(name)
+        if value is None:
+            value = self.table(name)
+        if isinstance(value, Typed):
+            value = self._python(value)
+        drive.write(value, path, self.spark, "file" if verb == ">>" and isinstance(value, DataFrame) else "directory")
+        return None
+
     def _holds(self, test: tuple) -> bool:
         v = self._python(self.expression(test))
         return bool(v) if isinstance(v, (int, float, bool)) else v is not None
@@ -242,6 +275,10 @@ class Environment:
             if e[2] is not None:
                 out = out.otherwise(self.expression(e[2], over).column)
             return self.typed(out, over)
+        if kind == "over":
+            return self.typed(self._over(e, over), over)
+        if kind == "exists":
+            raise ParseError("exists stands on its own in where")
         if kind == "scalar":
             raise ParseError("a select in brackets stands for a table after from or in")
         if kind == "lambda":
@@ -402,47 +439,143 @@ class Environment:
     def _source(self, source: tuple) -> DataFrame:
         return self.table(source[1]) if source[0] == "name" else self._statement(source)
 
-    def _from(self, parts: list, on: list | None) -> DataFrame:
-        tables, how = [], []
-        for p in parts:
-            if p[0] == "join":
-                how.append(p[1])
-                continue
-            df = self._source(p[0])
-            tables.append(df.alias(p[1]) if p[1] else df)
-            if len(how) < len(tables) - 1:
-                how.append("inner")
+    def _from(self, parts: list, late: list | None = None) -> DataFrame:
+        """The joined sources.  An ``on`` belongs to the join before it; one that stands after
+        later joins (or after all) serves each of them with those of its tests that it can: names
+        that both sides have, or expressions whose names are known by then."""
+        named = [p[1] or (p[0][1] if p[0][0] == "name" else None) for p in parts]
+        tables = [self._source(p[0]).alias(n) if n else self._source(p[0]) for p, n in zip(parts, named, strict=True)]
+        ons = [p[3] for p in parts]
+        if late and len(parts) > 1:
+            ons[-1] = [*(ons[-1] or []), *late]
         out = tables[0]
-        for k, (t, h) in enumerate(zip(tables[1:], how, strict=True)):
-            if h == "cross" or not on:
-                if h not in ("inner", "cross"):
-                    raise ParseError(f"a {h} join needs on")
-                out = out.crossJoin(t)
-                continue
-            if all(e[0] == "name" for e in on):  # names that both sides have
-                out = out.join(t, [e[1] for e in on], h)
+        for k in range(1, len(parts)):
+            how = parts[k][2]
+            on = ons[k]
+            if on is None and how != "cross":  # what the next on can say here
+                after = next((j for j in range(k + 1, len(parts)) if ons[j] is not None), None)
+                if after is not None and all(e[0] == "name" for e in ons[after]):
+                    on = ons[after]
+                elif after is not None:
+                    both = out.crossJoin(tables[k])
+                    on = [e for e in ons[after] if self._known(e, both)]
+                    ons[after] = [e for e in ons[after] if e not in on]
+            kind = "inner" if how == "comma" else how
+            if not on:
+                if how not in ("comma", "cross"):
+                    raise ParseError(f"a {how.replace('_', ' ')} join needs on")
+                out = out.crossJoin(tables[k])
+            elif all(e[0] == "name" for e in on):
+                out = out.join(tables[k], [e[1] for e in on], kind)
             else:
-                own = on if k == len(tables) - 2 else []
-                both = out.crossJoin(t)
-                cond = reduce(lambda a, b: a & b, [self.expression(e, both).column for e in own]) if own else None
-                out = out.join(t, cond, h) if cond is not None else out.crossJoin(t)
+                both = out.crossJoin(tables[k])  # for its columns only
+                out = out.join(tables[k], reduce(lambda a, b: a & b, [self.expression(e, both).column for e in on]), kind)
         return out
 
+    def _known(self, e: tuple, over: DataFrame) -> bool:
+        """Whether an expression's names are all columns of ``over`` or bound."""
+        try:
+            self.expression(e, over)
+        except (KindError, AnalysisException):
+            return False
+        return True
+
     def _where(self, df: DataFrame, tests: list) -> DataFrame:
-        for e in tests:
+        for e in [part for test in tests for part in self._conjuncts(test)]:
             inner = e[1] if e[0] == "not" else e
             if inner[0] == "in" and inner[2][0] != "list":
-                found = self._statement(inner[2])
-                key = self.expression(inner[1], df).column
-                other = found.select(F.col(found.columns[0]).alias("__in"))
-                df = df.join(other, key == F.col("__in"), "left_semi" if inner is e else "left_anti")
+                df = self._in(df, inner, inner is e)
+            elif inner[0] == "exists":
+                df = self._exists(df, inner[1], inner is e)
             else:
                 df = df.where(self.expression(e, df).column)
         return df
 
+    def _in(self, df: DataFrame, e: tuple, wanted: bool) -> DataFrame:
+        """``in`` and ``not in`` a select, by SQL's rule: beside a null in the list nothing is
+        known not to be in it, and a null is not in an empty list only."""
+        found = self._statement(e[2])
+        key = self.expression(e[1], df).column
+        other = found.select(F.col(found.columns[0]).alias("__in"))
+        if wanted:
+            return df.join(other, key == F.col("__in"), "left_semi")
+        told = other.agg(F.count("*").alias("__n"), F.count(F.when(F.col("__in").isNull(), 1)).alias("__nulls"))
+        out = df.join(other, key == F.col("__in"), "left_anti").crossJoin(F.broadcast(told))  # one row
+        return out.where((F.col("__nulls") == 0) & (key.isNotNull() | (F.col("__n") == 0))).drop("__n", "__nulls")
+
+    def _exists(self, df: DataFrame, select: tuple, wanted: bool) -> DataFrame:
+        """A semi or anti join on those tests of the inner select that name columns of the
+        outer tables; the others are the inner tables' own."""
+        _, _, clauses = select
+        if any(c in clauses for c in ("group", "having", "limit")):
+            raise ParseError("exists takes from and where")
+        inner = self._from(clauses["from"], clauses.get("on"))
+        own, shared = [], []
+        for e in clauses.get("where", []):
+            for part in self._conjuncts(e):
+                (own if self._known(part, inner) else shared).append(part)
+        inner = self._where(inner, own)
+        how = "left_semi" if wanted else "left_anti"
+        if not shared:
+            some = inner.select(F.lit(1).alias("__some")).limit(1)
+            return df.join(F.broadcast(some), F.lit(True), how)  # one row at most
+        both = df.crossJoin(inner)  # for its columns only
+        return df.join(inner, reduce(lambda a, b: a & b, [self.expression(e, both).column for e in shared]), how)
+
+    @staticmethod
+    def _conjuncts(e: tuple) -> list[tuple]:
+        return [*Environment._conjuncts(e[1]), *Environment._conjuncts(e[2])] if e[0] == "and" else [e]
+
+    def _over(self, e: tuple, df: DataFrame | None) -> Column:
+        """A window of a group.  Without a partition all rows meet in one task, unless
+        ``_whole`` has planned it."""
+        _, call, part, order, frame = e
+        if df is None:
+            raise ParseError("over stands in a select")
+        name, args = call[1][1].lower(), call[2]
+        if name in RANKS:
+            given = [a[1] if a[0] == "number" and (k > 0 or name == "ntile") else self.expression(a, df).column for k, a in enumerate(args)]
+            f = RANKS[name](*given)
+        elif name in AGGREGATES:
+            f = F.count("*") if args == [("star",)] else AGGREGATES[name](*[self.expression(a, df).column for a in args])
+        else:
+            raise KindError(f"{name} has no window")
+        w = Window.partitionBy(*[self.expression(p, df).column for p in part])
+        if order:
+            w = w.orderBy(*self._keys(df, order))
+        if frame:
+            low = Window.unboundedPreceding if frame[1] is None else frame[1]
+            high = Window.unboundedFollowing if frame[2] is None else frame[2]
+            w = w.rowsBetween(low, high) if frame[0] == "rows" else w.rangeBetween(low, high)
+        return f.over(w)
+
+    def _whole(self, df: DataFrame, items: list) -> tuple[DataFrame, list]:
+        """Row numbers and running sums, counts, minima and maxima over a whole table take
+        two passes over range partitions; their items become columns."""
+        out = []
+        for k, (e, n) in enumerate(items):
+            plain = e[0] == "over" and not e[2] and e[3] and e[4] in (None, ("rows", None, 0))
+            name = e[1][1][1].lower() if plain else None
+            as_ = f"__whole{k}"
+            keys = [F.col(f"{as_}_{i}") for i in range(len(e[3]))] if plain else []
+            if name == "row_number" or (name in ("sum", "count", "min", "max") and e[4] is not None and e[1][2] != [("star",)]):
+                for i, (x, _) in enumerate(e[3]):
+                    df = df.withColumn(f"{as_}_{i}", self.expression(x, df).column)
+                order = [c.desc() if down else c.asc() for c, (_, down) in zip(keys, e[3], strict=True)]
+                if name == "row_number":
+                    df = ordinals(df, order, as_).withColumn(as_, (F.col(as_) + 1).cast("int"))
+                else:
+                    df = running(df.withColumn(f"{as_}_v", self.expression(e[1][2][0], df).column), order, f"{as_}_v", name, as_).drop(f"{as_}_v")
+                df = df.drop(*[f"{as_}_{i}" for i in range(len(keys))])
+                e = ("name", as_)
+            out.append((e, n))
+        return df, out
+
     @staticmethod
     def _aggregates(e) -> bool:
         if isinstance(e, tuple):
+            if e and e[0] == "over":
+                return False
             if e and e[0] == "call" and e[1][0] == "name" and e[1][1].lower() in AGGREGATES:
                 return True
             return any(Environment._aggregates(x) for x in e[1:])
@@ -463,28 +596,23 @@ class Environment:
         groups = clauses.get("group", [])
         named = [(e, n or (None if e[0] == "star" else self._label(e, k))) for k, (e, n) in enumerate(items)] or [(("star",), None)]
         if groups or any(self._aggregates(e) for e, _ in named):
-            keys = [(e, n or self._label(e, k)) for k, (e, n) in enumerate(groups)]
-            by = {repr(e): n for e, n in keys}
-            columns, aggs = [], []
-            for e, n in named:
-                if repr(e) in by:
-                    columns.append(F.col(by[repr(e)]).alias(n))
-                elif e[0] == "star":
-                    columns += [F.col(n_) for _, n_ in keys]
-                else:
-                    c = self.expression(e, df).column
-                    # a bare column of a group is the vector of its values
-                    aggs.append((c if self._aggregates(e) else F.collect_list(c)).alias(n))
-                    columns.append(F.col(n))
-            out = df.groupBy(*[self.expression(e, df).column.alias(n) for e, n in keys]).agg(*aggs) if aggs else df.select(*[self.expression(e, df).column.alias(n) for e, n in keys]).distinct()
-            out = out.select(*columns)
+            out = self._grouped(df, named, groups, clauses.get("having", []))
         else:
+            if "having" in clauses:
+                raise ParseError("having needs groups")
+            if any(e[0] == "over" for e, _ in named):
+                columns = df.columns
+                df, named = self._whole(df, named)
+                if len(df.columns) > len(columns):  # a star stands for the table's own columns
+                    named = [x for e, n in named for x in ([(("name", c), c) for c in columns] if e[0] == "star" else [(e, n)])]
             picked = [F.col("*") if e[0] == "star" else self.expression(e, df).column.alias(n) for e, n in named]
             order = clauses.get("order")
-            if order and not all(e[0] == "name" and e[1] in [n for _, n in named] for e, _ in order) and not any(e[0] == "star" for e, _ in named):
+            if order and not clauses.get("distinct") and not all(e[0] == "name" and e[1] in [n for _, n in named] for e, _ in order) and not any(e[0] == "star" for e, _ in named):
                 df = df.orderBy(*self._keys(df, order))  # by columns that are not selected
                 clauses = {k: v for k, v in clauses.items() if k != "order"}
             out = df.select(*picked)
+        if clauses.get("distinct"):
+            out = out.distinct()
         if "order" in clauses:
             out = out.orderBy(*self._keys(out, clauses["order"]))
         if "limit" in clauses:
@@ -494,6 +622,48 @@ class Environment:
             out = out.limit(n)
         return out
 
+    def _grouped(self, df: DataFrame, named: list, groups: list, having: list) -> DataFrame:
+        """Groups by expressions, or by rollup(..), cube(..) or grouping sets (..); ``having``
+        may name results and groups, and aggregates of its own."""
+        sets = None
+        first = groups[0][0] if len(groups) == 1 else ("",)
+        if first[0] == "sets":
+            sets = first[1]
+            groups = [(e, None) for e in dict.fromkeys(x for s in sets for x in s)]
+        elif first[0] == "call" and first[1] in (("name", "rollup"), ("name", "cube")):
+            sets, groups = first[1][1], [(e, None) for e in first[2]]
+        keys = [(e, n or self._label(e, k)) for k, (e, n) in enumerate(groups)]
+        by = {repr(e): n for e, n in keys}
+        columns, aggs, tests = [], [], []
+        for e, n in named:
+            if repr(e) in by:
+                columns.append(F.col(by[repr(e)]).alias(n))
+            elif e[0] == "star":
+                columns += [F.col(n_) for _, n_ in keys]
+            else:
+                c = self.expression(e, df).column
+                # a bare column of a group is the vector of its values
+                aggs.append((c if self._aggregates(e) else F.collect_list(c)).alias(n))
+                columns.append(F.col(n))
+        for k, e in enumerate(having):
+            if self._aggregates(e):
+                aggs.append(self.expression(e, df).column.alias(f"__having{k}"))
+                tests.append(("name", f"__having{k}"))
+            else:
+                tests.append(e)
+        group = [self.expression(e, df).column.alias(n) for e, n in keys]
+        if sets is None:
+            out = df.groupBy(*group).agg(*aggs) if aggs else df.select(*group).distinct()
+        else:
+            wide = df.select("*", *[c.alias(f"__key{k}") for k, c in enumerate(group)])
+            own = [F.col(f"__key{k}") for k in range(len(group))]
+            place = {repr(e): c for (e, _), c in zip(keys, own, strict=True)}
+            made = wide.rollup(*own) if sets == "rollup" else wide.cube(*own) if sets == "cube" else wide.groupingSets([[place[repr(e)] for e in s] for s in sets], *own)
+            out = made.agg(*(aggs or [F.count("*").alias("__rows")])).withColumnsRenamed({f"__key{k}": n for k, (_, n) in enumerate(keys)})
+        for e in tests:
+            out = out.where(self.expression(e, out).column)
+        return out.select(*columns)
+
     def _keys(self, df: DataFrame, order: list) -> list[Column]:
         """The engine's total order.  Kinds that Spark sorts alike keep the plain
         column, which range partitioning and top-k use best."""

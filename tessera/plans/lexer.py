@@ -19,7 +19,8 @@ CONTROL = ("def", "function", "if", "do", "while", "for", "else", "return", "sel
 NUMBER_WORDS = {"inf": float("inf"), "infinity": float("inf"), "nan": float("nan")}
 NAME_WORDS = {"nil": None, "null": None, "true": True, "false": False}
 ADVERBS = {"\\/": "fold", "\\\\": "unfold", "\\=": "mapdown", "\\<": "mapleft", "\\>": "mapright", "\\~": "mapback"}
-TWO = ("==", ">=", "<=", "!=", "<>", "**")
+THREE = ("<<=", ">>=")
+TWO = ("==", ">=", "<=", "!=", "<>", "**", "<<", ">>")
 ONE = "~!@#$%^&*_-+=|<>.?/"
 UNITS = {"y": "years", "m": "months", "d": "days", "h": "hours", "i": "minutes", "s": "seconds"}
 
@@ -97,6 +98,8 @@ def _scan(text: str, at: int) -> tuple[str, int, Any]:
             return kind, end, value
         return kind, end, body
     c = text[at]
+    if text[at : at + 3] in THREE:
+        return "verb", at + 3, text[at : at + 3]
     if text[at : at + 2] in TWO:
         return "verb", at + 2, text[at : at + 2]
     if c in "([{":

@@ -13,6 +13,10 @@ from tessera.plans.lexer import ADVERBS, Token, tokens
 MAX_DEPTH = 100
 _CLOSES = {"(": ")", "[": "]", "{": "}"}
 COMPARISONS = ("=", "==", "!=", "<>", "<", "<=", ">", ">=")
+#: Verbs of the drive: read, read on use, write, write as a directory.
+DRIVE = ("<<", "<<=", ">>", ">>=")
+#: Words that end a list of clauses' items and so are no names given to them.
+_AFTER_ITEMS = ("having",)
 
 
 def check_brackets(ts: list[Token]) -> int:
@@ -107,6 +111,9 @@ class Parser:
                 self.take()
                 return ("assign", name, index, verb, self.value())
             self.at = back
+        if self.is_("name") and self.is_("verb", None, 1) and self.peek(1).text in DRIVE:
+            name, verb = self.take().text, self.take().text
+            return ("drive", verb, name, self.phrase())
         return self.phrase()
 
     def value(self) -> tuple:
@@ -252,6 +259,10 @@ class Parser:
     def _clauses(self, out: dict) -> dict:
         while True:
             self.skip("newline")
+            if self.is_("name", "having") and "having" not in out:
+                self.take()
+                out["having"] = self._list()
+                continue
             if not self.is_("clause"):
                 if self.is_("sql"):
                     raise NestedClauseError(f"{self.peek().text} at {self.peek().start} needs brackets")
@@ -265,7 +276,7 @@ class Parser:
                 out[word] = self._list()
             elif word == "group":
                 self.word("by")
-                out[word] = self._items()
+                out[word] = self._grouping_sets() if self.is_("name", "grouping") and self.is_("name", "sets", 1) else self._items()
             elif word == "order":
                 self.word("by")
                 out[word] = self._ordering()
@@ -279,8 +290,30 @@ class Parser:
                 out[word] = self._rows()
 
     def _select(self) -> tuple:
+        once = self.is_("name", "distinct") and not self.is_("open", "(", 1)
+        if once:
+            self.take()
         items = [] if self.is_("clause") or self.is_("newline") else self._items()
-        return ("select", items, self._clauses({}))
+        clauses = self._clauses({})
+        return ("select", items, clauses | {"distinct": True} if once else clauses)
+
+    def _grouping_sets(self) -> list[tuple]:
+        self.take()
+        self.take()
+        self.take("open", "(")
+        sets = []
+        while True:
+            if self.is_("open", "("):
+                self.take()
+                sets.append([] if self.is_("close", ")") else self._list())
+                self.take("close", ")")
+            else:
+                sets.append([self._expr()])
+            if not self.is_("comma"):
+                break
+            self.take()
+        self.take("close", ")")
+        return [(("sets", sets), None)]
 
     def _insert(self) -> tuple:
         self.word("into")
@@ -317,7 +350,7 @@ class Parser:
             else:
                 e = self._expr()
                 name = None
-                if self.word("as") or self.is_("name"):
+                if self.word("as") or (self.is_("name") and self.peek().text.lower() not in _AFTER_ITEMS):
                     name = self.take("name").text
                 out.append((e, name))
             if not self.is_("comma"):
@@ -332,7 +365,8 @@ class Parser:
         return out
 
     def _sources(self) -> list[tuple]:
-        out = []
+        """Each source is (tree, name, how it is joined, on); the first is joined to nothing."""
+        out, how = [], None
         while True:
             self.skip("newline")
             if self.is_("open", "("):
@@ -341,21 +375,24 @@ class Parser:
                 self.take("close", ")")
             else:
                 source = ("name", self.take("name").text)
-            name = None
-            if self.word("as"):
-                name = self.take("name").text
-            out.append((source, name))
+            name = self.take("name").text if self.word("as") else None
+            on = None
+            if how is not None and self.is_("clause", "on"):
+                self.take()
+                on = self._list()
+            out.append((source, name, how, on))
             if self.is_("comma"):
                 self.take()
+                how = "comma"
                 continue
-            how: list[str] = []
+            words: list[str] = []
             while self.is_("name") and self.peek().text.lower() in ("left", "right", "full", "semi", "anti", "cross", "outer", "inner"):
-                how.append(self.take().text.lower())
+                words.append(self.take().text.lower())
             if self.word("join"):
-                out.append(("join", "_".join(how) or "inner"))
+                how = "_".join(words) or "inner"
                 continue
-            if how:
-                raise ParseError(f"expected join after {' '.join(how)}")
+            if words:
+                raise ParseError(f"expected join after {' '.join(words)}")
             return out
 
     def _ordering(self) -> list[tuple]:
@@ -424,6 +461,12 @@ class Parser:
         return self._comparison()
 
     def _comparison(self) -> tuple:
+        if self.is_("name", "exists") and self.is_("open", "(", 1) and self.is_("sql", None, 2):
+            self.take()
+            self.take()
+            inner = self.sql()
+            self.take("close", ")")
+            return ("exists", inner)
         left = self._sum()
         op = self._verb(*COMPARISONS)
         if op:
@@ -506,6 +549,8 @@ class Parser:
                 args = self._list()
             self.take("close", ")")
             out = ("call", ("name", name), args)
+            if self.is_("name", "over") and self.is_("open", "(", 1):
+                out = self._over(out)
         elif self.word("case"):
             return self._case()
         else:
@@ -514,6 +559,45 @@ class Parser:
             out = ("index", out, self.bracketed("[", "]"))
         return out
 
+    def _over(self, call: tuple) -> tuple:
+        """over (partition by .. order by .. rows between .. and ..)"""
+        self.take()
+        self.take("open", "(")
+        part: list[tuple] = []
+        order: list[tuple] = []
+        frame = None
+        if self.word("partition"):
+            self.word("by")
+            part = self._list()
+        if self.is_("clause", "order"):
+            self.take()
+            self.word("by")
+            order = self._ordering()
+        kind = "rows" if self.word("rows") else "range" if self.word("range") else None
+        if kind:
+            if self.word("between"):
+                low = self._bound()
+                if not self.word("and"):
+                    raise ParseError("between needs and")
+                frame = (kind, low, self._bound())
+            else:
+                frame = (kind, self._bound(), 0)
+        self.take("close", ")")
+        return ("over", call, part, order, frame)
+
+    def _bound(self) -> int | None:
+        """Rows after the current one; None if unbounded, with its side told by place."""
+        if self.word("current"):
+            if not self.word("row"):
+                raise ParseError("current needs row")
+            return 0
+        n = None if self.word("unbounded") else self.take("number").value
+        if self.word("preceding"):
+            return None if n is None else -n
+        if not self.word("following"):
+            raise ParseError("a bound is preceding or following")
+        return n
+
     def _case(self) -> tuple:
         arms, other = [], None
         while self.word("when"):
