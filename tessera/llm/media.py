@@ -246,7 +246,8 @@ def _composed(data: bytes) -> Iterator[Frame]:
         n = 2 << (flags & 7)
         shared = np.frombuffer(data, np.uint8, n * 3, at).reshape(n, 3)
         at += n * 3
-    canvas = np.zeros((height, width, 4), np.uint8)
+    # a pixel is one number of four bytes: red, green, blue, and 255 where it is visible
+    canvas = np.zeros((height, width), "<u4")
     clock = 0
     disposal, transparent, delay = 0, -1, 0
     while at < len(data):
@@ -286,13 +287,15 @@ def _composed(data: bytes) -> Iterator[Frame]:
         shown = samples[:y, :x]
         if shown.size and int(shown.max()) >= len(palette):
             raise ValueError("a sample lies outside the palette")
-        rgb = palette[shown]
+        colours = np.full((len(palette), 4), 255, np.uint8)
+        colours[:, :3] = palette
+        colours = colours.view("<u4")[:, 0]
         if transparent >= 0:
             seen = shown != transparent
-            area[seen, :3], area[seen, 3] = rgb[seen], 255
+            area[seen] = colours[shown[seen]]
         else:
-            area[..., :3], area[..., 3] = rgb, 255
-        yield Frame(clock, delay * 10, left, top, samples, palette, canvas)
+            area[...] = colours[shown]
+        yield Frame(clock, delay * 10, left, top, samples, palette, canvas.view(np.uint8).reshape(height, width, 4))
         clock += delay * 10
         if disposal == 2:
             area[...] = 0
@@ -304,9 +307,11 @@ def _composed(data: bytes) -> Iterator[Frame]:
 
 def histogram(rgba: np.ndarray) -> np.ndarray:
     """Counts of the 64 colours of two bits a channel, over visible pixels."""
-    p = rgba.reshape(-1, 4)
-    p = p[p[:, 3] > 0] if not p[:, 3].all() else p
-    return np.bincount((p[:, 0] >> 6) * 16 + (p[:, 1] >> 6) * 4 + (p[:, 2] >> 6), minlength=64)
+    p = np.ascontiguousarray(rgba).view("<u4").ravel()
+    key = (p >> 2) & 0x30 | (p >> 12) & 0x0C | (p >> 22) & 0x03
+    if not (p >> 24).all():
+        key = key[p >> 24 > 0]
+    return np.bincount(key, minlength=64)
 
 
 # ------------------------------------------------------------------ DataFrames
