@@ -28,7 +28,8 @@ Edge cases: null, empty and symbol-only texts have no terms and get the score of
 the empty text; labels that are null are not used; labels that repeat a doc_id
 count as toxic if any does; without labels of both kinds in the sample all rows
 score 0; rows that share a doc_id with one learnt from are not calibrated on;
-repeated rows score alike; a null doc_id keeps its row; extra columns are
+repeated rows score alike but for the last digits of single precision (a sum's order
+depends on the batch); a null doc_id keeps its row; extra columns are
 ignored by ``score`` and kept by ``drop_toxic``.
 """
 

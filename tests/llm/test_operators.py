@@ -45,15 +45,48 @@ def test_every_query_runs_on_the_smallest_tables(spark, data_dir):
             assert f(spark, data_dir).count() > 0, name
 
 
+def _by_id(df):
+    """Rows by doc_id; rows that repeat are equal, or this fails."""
+    out = {}
+    for r in df.collect():
+        assert out.setdefault(r.doc_id, r) == r
+    return out
+
+
 def test_awkward_rows_have_results(spark, awkward, labels):
-    n = awkward.count()
-    assert mixing.mixture(awkward).count() == n
-    assert pii.find(awkward).count() == n
-    assert media.gif_features(media.to_gif(awkward)).count() == n
-    assert quality.quality(awkward, labels).where("score between 0 and 1").count() == n
-    assert toxicity.score(awkward, toxicity.fit(awkward, labels)).where("score between 0 and 1").count() == n
-    assert sharding.shards(awkward, 1000).count() == n
-    assert packing.packed(awkward).count() == n
+    rows = awkward.collect()
+    texts = {r.doc_id: r.text or "" for r in rows}
+    words = {i: len(WORD.findall(x)) for i, x in texts.items()}
+    n = len(rows)
+    mixed = mixing.mixture(awkward)
+    got = _by_id(mixed)
+    source_size = Counter()
+    for r in rows:
+        source_size[r.source] += words[r.doc_id]
+    for r in rows:
+        own = got[r.doc_id]
+        assert (own["size"], own.source_size) == (words[r.doc_id], source_size[r.source]) and 0 <= own.taken <= 2 * own["size"] and own.taken % max(1, own["size"]) == 0
+    assert mixed.count() == n and got[0].taken == got[1].taken == got[2].taken == 0
+    found = pii.find(awkward)
+    got = _by_id(found)
+    empty = hashlib.sha256(b"").hexdigest()
+    assert found.count() == n and all(tuple(got[i])[1:] == (0, 0, 0, 0, empty, "") for i in (0, 1, 2, 3, 4, 5, 9))
+    assert tuple(got[8])[1:] == (1, 0, 0, 0, hashlib.sha256(b"email:5:13").hexdigest(), "email:5:13") and got[6].n_email == got[None].n_email == 0
+    stored = media.gif_features(media.to_gif(awkward))
+    got = _by_id(stored)
+    for i, x in texts.items():
+        payload = media.payload_of(x.encode())
+        assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(x.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert stored.count() == n and tuple(got[0])[1:] == tuple(got[1])[1:] and tuple(got[4])[1:] == tuple(got[5])[1:]
+    for scored in (quality.quality(awkward, labels), toxicity.score(awkward, toxicity.fit(awkward, labels))):
+        got = _by_id(scored.withColumn("score", F.round("score", 4)))
+        assert scored.count() == n and got.keys() == texts.keys() and all(0 <= r.score <= 1 for r in got.values())
+        assert got[0].score == got[1].score and got[4].score == got[5].score
+    cut = sharding.shards(awkward, 1000).collect()
+    assert Counter((r.doc_id, r.n_bytes) for r in cut) == Counter((r.doc_id, len((r.text or "").encode())) for r in rows)
+    packed = packing.packed(awkward).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in packed) == Counter((r.doc_id, words[r.doc_id]) for r in rows)
+    assert len({(r.batch, r.place) for r in packed}) == n and all(r.padding == r.padded_to - r.n_tokens >= 0 for r in packed)
     near = minhash.near_duplicates(awkward, 4, 80).collect()
     assert len(near) == n
     by = defaultdict(set)
@@ -63,6 +96,34 @@ def test_awkward_rows_have_results(spark, awkward, labels):
     assert by[None] == {(59998, None, True)}
 
 
+def test_pages_with_nulls_repeats_and_clashing_columns(spark):
+    rows = [(1, None, None), (1, None, None), (None, "http://a", "x"), (3, "http://b", "x"), (4, "", ""), (5, "http://c", "long " * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha1", F.lit(1)).withColumn("owner", F.lit("o")).withColumn("revisit", F.lit(2)).withColumn("refers_to", F.lit("r"))
+    path = warc.scratch(spark, "warc-test")
+    warc.write_archive(pages, path)
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.read_archive(spark, path).collect()), key=str)
+    body = {i: (h or "").encode() for i, _, h in rows}
+    # of the empty payloads page 4 is the response, of those of "x" page 3
+    want = [(1, "revisit", 4), (1, "revisit", 4), (None, "revisit", 3), (3, "response", None), (4, "response", None), (5, "response", None)]
+    assert got == sorted(((i, kind, to, len(body[i]), warc.digest(body[i])) for i, kind, to in want), key=str)
+
+
+def test_pipeline_of_awkward_rows(spark, awkward, labels, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("full", awkward.withColumn("n_chars", F.col("n_chars").cast("long"))), ("none", awkward.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    kept = Counter(r.doc_id for r in out)
+    # empty texts take no words of the mix; of the pair 4 and 5 the first stays (its repeated row too)
+    assert not {0, 1, 2, 5} & set(kept) and {r.n_tokens for r in out if r.doc_id == 4} <= {5} and {r.n_tokens for r in out if r.doc_id == 8} <= {3}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    stage = dict(corpus_pipeline.STAGES)
+    clean = stage["pii"](spark, awkward, f"{tmp_path}/full")
+    assert clean.columns == awkward.columns and {r.text for r in clean.where("doc_id = 8").collect()} == {"mail [EMAIL] now"} and clean.where("text is null").count() == 1
+
+
 def test_columns_pass_through(spark, awkward, labels):
     for out in (mixing.mixed(awkward), pii.redact(awkward), toxicity.drop_toxic(awkward, labels), minhash.drop_near_duplicates(awkward)):
         assert out.columns == awkward.columns and out.where("node = 7 and __copies = 7 and __rate = 7 and __toxicity = 7").count() == out.count()
