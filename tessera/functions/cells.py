@@ -35,6 +35,14 @@ def unfold(a: Column, f: Binary, seed: Column | None = None) -> Column:
     return F.when(F.size(a) == 0, a).otherwise(F.aggregate(_rest(a), F.slice(a, 1, 1), grow))
 
 
+def visited(a: Column, until: Unary, back: bool = False) -> Column:
+    """The items up to the first that ``until`` holds for, that one included; from the end
+    if ``back``.  All of them, if it never does."""
+    items = F.reverse(a) if back else a
+    stop = F.array_position(F.transform(items, lambda x: F.coalesce(until(x), F.lit(False))), True)
+    return F.when(stop > 0, F.slice(items, F.lit(1), stop.cast("int"))).otherwise(items)
+
+
 def mapback(a: Column, f: Binary, seed: Column | None = None) -> Column:
     """f(item, the item before); the first item stands, or meets the seed."""
     first = (lambda x: x) if seed is None else (lambda x: f(x, seed))
@@ -210,6 +218,26 @@ def map_of(keys: Column, values: Column) -> Column:
     return F.map_from_arrays(ks, F.transform(ks, value))
 
 
+def attributed(m: Column, attributes: Column) -> Column:
+    """STRUCT(value, attributes): a map with a map of attributes of its own."""
+    return F.struct(m.alias("value"), attributes.alias("attributes"))
+
+
+def attribute(m: Column, name: Column) -> Column:
+    """An attribute of a map; null if it has none of that name."""
+    return lookup(m["attributes"], name)
+
+
+def set_attribute(m: Column, name: Column, value: Column) -> Column:
+    """The map with an attribute set; its entries stay."""
+    return attributed(m["value"], upsert(m["attributes"], name, value))
+
+
+def attributed_upsert(m: Column, key: Column, value: Column) -> Column:
+    """The map with an entry changed; its attributes stay."""
+    return attributed(upsert(m["value"], key, value), m["attributes"])
+
+
 # ------------------------------------------------- dictionary, ragged, progression
 
 

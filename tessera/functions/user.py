@@ -7,6 +7,7 @@ of them see Arrow or pandas batches, never single rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -49,6 +50,43 @@ def folded(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, f
     return df.select(*by, *dict.fromkeys([*order, value])).groupBy(*by).applyInPandas(run, schema)
 
 
+def aggregate(df: DataFrame, by: Sequence[str], value: str, step: Callable, merge: Callable, finish: Callable, returns: str, most_keys: int = 100_000) -> DataFrame:
+    """A user aggregate in two parts, so a hot group is no task's alone: ``step(state, values)``
+    takes the NumPy values of a group in a batch (state None at first), ``merge(a, b)`` adds two
+    states, ``finish(state)`` gives the result.  States are pickled; a task that holds
+    ``most_keys`` of them passes them on.  Null values are left out, and groups of none are null."""
+    names = list(by)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, object] = {}
+
+        def out() -> pd.DataFrame:
+            rows = [(*k, None if s is None else pickle.dumps(s)) for k, s in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*names, "state"]).astype({"state": object})
+
+        for b in batches:
+            for key, part in b.groupby(names, dropna=False, sort=False)[value]:
+                own = part.dropna().to_numpy()
+                key = tuple(None if pd.isna(k) else k for k in key)
+                held[key] = step(held.get(key), own) if len(own) else held.get(key)
+            if len(held) > most_keys:
+                yield out()
+        if held:
+            yield out()
+
+    def merged(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        done = None
+        for raw in t["state"].dropna():
+            s = pickle.loads(raw)
+            done = s if done is None else merge(done, s)
+        return pd.DataFrame([[*key, None if done is None else finish(done)]], columns=[*names, "value"])
+
+    states = T.StructType([*[df.schema[b] for b in names], T.StructField("state", T.BinaryType())])
+    schema = T.StructType([*[df.schema[b] for b in names], T.StructField("value", T._parse_datatype_string(returns))])
+    return df.select(*names, value).mapInPandas(partial, states).groupBy(*names).applyInPandas(merged, schema)
+
+
 def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """A function of Arrow batches over all partitions in parallel."""
 

@@ -8,6 +8,7 @@ conditions on single values run on the driver; ``if`` inside a clause is ``case`
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -110,6 +111,14 @@ class Environment:
         got = self.run(text)
         return self._python(got) if isinstance(got, Typed) else got
 
+    def timed(self, text: str) -> tuple:
+        """(the value of ``show``, seconds); tables are run."""
+        began = time.perf_counter()
+        got = self.show(text)
+        if isinstance(got, DataFrame):
+            got.write.format("noop").mode("overwrite").save()
+        return got, time.perf_counter() - began
+
     def _python(self, value: Typed):
         with wrapped():
             return self.spark.range(1).select(value.column.alias("v")).first()[0]

@@ -27,7 +27,7 @@ def random_ints(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
 
 
 #: Type names of empty vectors.
-KINDS = {"char": T.StringType(), "int": T.LongType(), "float": T.DoubleType(), "string": T.StringType(), "datetime": T.TimestampNTZType(), "date": T.DateType(), "year": T.IntegerType(), "month": T.DateType(), "day": T.DateType(), "bool": T.BooleanType(), "mixed": T.VariantType(), "decimal": T.DecimalType(38, 0)}
+KINDS = {"char": T.StringType(), "int": T.LongType(), "float": T.DoubleType(), "string": T.StringType(), "datetime": T.TimestampNTZType(), "date": T.DateType(), "year": T.IntegerType(), "month": T.DateType(), "day": T.DateType(), "hour": T.TimestampNTZType(), "minute": T.TimestampNTZType(), "second": T.TimestampNTZType(), "time": T.LongType(), "months": T.YearMonthIntervalType(), "span": T.DayTimeIntervalType(), "list": T.ArrayType(T.LongType()), "map": T.MapType(T.StringType(), T.LongType()), "bytes": T.BinaryType(), "bool": T.BooleanType(), "mixed": T.VariantType(), "decimal": T.DecimalType(38, 0)}
 
 
 def empty(spark: SparkSession, kind: str) -> DataFrame:

@@ -72,6 +72,29 @@ def counted(events: DataFrame, key: str, value: str) -> DataFrame:
     return own.groupBy("key").applyInPandasWithState(step, "key long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
+def finished(events: DataFrame, at: str, key: str, value: str, late: str, gap_ms: int) -> DataFrame:
+    """Keyed state with a timeout in event time: each key's number of events and sum, once the
+    watermark has passed its last event by ``gap_ms``; then its state goes, and a later event
+    begins anew.  (key: long, n: long, total: double)"""
+
+    def step(key_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            n, total, _ = state.get
+            state.remove()
+            yield pd.DataFrame({"key": [key_[0]], "n": [n], "total": [total]})
+            return
+        n, total, last = state.get if state.exists else (0, 0.0, 0)
+        for b in batches:
+            n, total = n + len(b), total + float(b["value"].sum())
+            last = max(last, int(b["ms"].max()))
+        state.update((n, total, last))
+        state.setTimeoutTimestamp(max(last + gap_ms, state.getCurrentWatermarkMs() + 1))
+
+    stamp = F.col(at).cast("timestamp")
+    own = events.select(F.col(key).cast("long").alias("key"), F.col(value).cast("double").alias("value"), stamp.alias("at"), F.unix_millis(stamp).alias("ms")).withWatermark("at", late)
+    return own.groupBy("key").applyInPandasWithState(step, "key long, n long, total double", "n long, total double, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now and return what it gave.  Rows go to
     Parquet in the shared folder; with mode ``update`` each micro-batch adds its rows."""
