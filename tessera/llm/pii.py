@@ -558,7 +558,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_found long"
 
 
 def _finder(shared):
@@ -567,15 +567,16 @@ def _finder(shared):
             data, off = text_buffer(batch.column("text"))
             raw = data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(off[:-1], off[1:], strict=True)]
-            rows = [(*(sum(k == kind for k, _, _ in own) for kind in range(BASE_KINDS)), hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(own + more)) for own, more in find_spans(texts, shared.value)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            rows = [(*(sum(k == kind for k, _, _ in own) for kind in range(BASE_KINDS)), hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(own + more), len(own) + len(more)) for own, more in find_spans(texts, shared.value)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:6]), pa.array(cols[6], pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found"])
 
     return run
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Counts of base spans by kind, their digest, and all spans of each row of docs."""
+    """Counts of base spans by kind, their digest, all spans of each row of docs, and how
+    many these are."""
     spark = docs.sparkSession
     bound_arrow(spark)
     shared = spark.sparkContext.broadcast(trained())  # a few thousand numbers

@@ -70,8 +70,8 @@ def test_awkward_rows_have_results(spark, awkward, labels):
     found = pii.find(awkward)
     got = _by_id(found)
     empty = hashlib.sha256(b"").hexdigest()
-    assert found.count() == n and all(tuple(got[i])[1:] == (0, 0, 0, 0, empty, "") for i in (0, 1, 2, 3, 4, 5, 9))
-    assert tuple(got[8])[1:] == (1, 0, 0, 0, hashlib.sha256(b"email:5:13").hexdigest(), "email:5:13") and got[6].n_email == got[None].n_email == 0
+    assert found.count() == n and all(tuple(got[i])[1:] == (0, 0, 0, 0, empty, "", 0) for i in (0, 1, 2, 3, 4, 5, 9))
+    assert tuple(got[8])[1:] == (1, 0, 0, 0, hashlib.sha256(b"email:5:13").hexdigest(), "email:5:13", 1) and got[6].n_email == got[None].n_email == 0
     stored = media.gif_features(media.to_gif(awkward))
     got = _by_id(stored)
     for i, x in texts.items():
@@ -181,6 +181,7 @@ def test_redaction_and_spans(spark, data_dir):
         assert [own.n_email, own.n_ip, own.n_card, own.n_phone] == [sum(k == i for k, _, _ in base) for i in range(4)]
         assert own.base_sha256 == hashlib.sha256(pii._joined(base).encode()).hexdigest()
         assert set(pii._joined(base).split(",")) <= set(own.spans.split(",")) or not base
+        assert own.n_found == len([x for x in own.spans.split(",") if x])
     clean = pii.redact(docs).select("text").collect()
     assert sum(len([s for s in pii.base_spans(r.text or "") if s[0] == 0]) for r in clean) == 0
 
