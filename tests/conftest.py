@@ -1,5 +1,10 @@
-import pytest
-from pyspark.sql import SparkSession
+import os
+
+# small matrix products gain nothing from threads, which wait for each other on a busy machine
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
