@@ -116,8 +116,9 @@ def test_pipeline_of_awkward_rows(spark, awkward, labels, tmp_path):
         labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
     out = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
     kept = Counter(r.doc_id for r in out)
-    # empty texts take no words of the mix; of the pair 4 and 5 the first stays (its repeated row too)
-    assert not {0, 1, 2, 5} & set(kept) and {r.n_tokens for r in out if r.doc_id == 4} <= {5} and {r.n_tokens for r in out if r.doc_id == 8} <= {3}
+    # 4, 5 (the same text) and 8 are labelled toxic; all others stay, up to twice each
+    words = {r.doc_id: len(WORD.findall(r.text or "")) for r in awkward.collect()}
+    assert {3, 6, None} <= set(kept) <= {0, 1, 2, 3, 6, 9, None} and max(kept.values()) <= 2 and all(r.n_tokens == words[r.doc_id] for r in out)
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     stage = dict(corpus_pipeline.STAGES)
     clean = stage["pii"](spark, awkward, f"{tmp_path}/full")
